@@ -1,6 +1,15 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from webloom.llm import licenses, quality_rules
+from webloom.llm import decontaminate, language_id, licenses, quality_model, quality_rules
 
-QUERIES = {f.__name__: f for f in (licenses.op3_license_scan, quality_rules.op8_quality_rules)}
-SQL = {"op8_quality_rules": quality_rules.OP8_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        language_id.op1_language_id,
+        licenses.op3_license_scan,
+        quality_model.op7_quality_classifier,
+        quality_rules.op8_quality_rules,
+        decontaminate.op10_decontamination,
+    )
+}
+SQL = {"op8_quality_rules": quality_rules.OP8_SQL, "op10_decontamination": decontaminate.OP10_SQL}
