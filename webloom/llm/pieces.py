@@ -29,6 +29,7 @@ from webloom.llm import _text
 _SPACE = "▁"
 #: Encodings of parts that a Python worker keeps between batches, at most.
 MEMO = 200_000
+_START = -2
 
 
 class Model:
@@ -84,6 +85,15 @@ class Model:
             out[r, : len(p)] = [ord(c) for c in p]
         return out, sizes, pieces
 
+    @cached_property
+    def numbers(self) -> list[int]:
+        return [self.ids[p] for p in self.matrix[2]]
+
+    @property
+    def first_character(self) -> int:
+        """Tokens from here on are characters that are no piece."""
+        return len(self.matrix[2])
+
     def merged(self, text: str) -> list[str]:
         """The model's merges run over a text: the pair with the best score first, the leftmost among equals."""
         parts: list[str | None] = list(text)
@@ -122,7 +132,8 @@ class Encoder:
     def __init__(self, model: Model):
         self.model = model
         self.memo: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        #: Pairs of tokens whose seam has been tried, in order, and whether they stay apart.
+        self.pairs, self.values = np.zeros(0, np.int64), np.zeros(0, bool)
         self.runs: dict[int, list[int]] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -157,62 +168,77 @@ class Encoder:
         return self.runs[k]
 
     def _matched(self, parts: list[str]) -> list[list[int]]:
-        """The encodings of distinct parts."""
+        """The encodings of distinct parts, relaxed side by side: step k takes the edges that end k
+        characters into their part. A character that is no piece is a token of its own."""
         if not parts:
             return []
         sizes = np.array([len(p) for p in parts])
-        text = np.frombuffer("\0".join(parts).encode("utf-32-le"), np.uint32)
+        text = np.frombuffer("\0".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
         start, end, piece = self._edges(text)
-        order = np.lexsort((start, end))
-        names = self.model.matrix[2]
-        by_end: dict[int, list[tuple[int, int]]] = {}
-        for s, e, p in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), strict=True):
-            by_end.setdefault(e, []).append((s, p))
-        ids, apart, out = self.model.ids, self._apart, []
-        for part, base in zip(parts, begins.tolist(), strict=True):
-            last: list[tuple[int, str] | None] = [None] * (len(part) + 1)
-            last[0] = (0, "")
-            for e in range(1, len(part) + 1):
-                edges = by_end.get(base + e)
-                if edges is None or all(s != base + e - 1 for s, _ in edges):
-                    edges = [*(edges or ()), (base + e - 1, -1)]
-                for s, p in edges:
-                    before = last[s - base]
-                    if before is None:
-                        continue
-                    token = names[p] if p >= 0 else part[e - 1]
-                    if not before[1] or p < 0 or apart(before[1], token):
-                        if last[e] is None:
-                            last[e] = (s - base, token)
-                        if p >= 0 or len(edges) == 1:
-                            break
-            tokens, at = [], len(part)
-            while at:
-                tokens.append(last[at][1])
-                at = last[at][0]
-            row: list[int] = []
-            for t in reversed(tokens):
-                if t in ids:
-                    row.append(ids[t])
-                else:
-                    row += [self.model.byte_ids[b] for b in t.encode()]
-            out.append(row)
-        return out
-
-    def _apart(self, left: str, right: str) -> bool:
+        whole = np.zeros(len(text), bool)
+        whole[start[end - start == 1]] = True
+        other = np.flatnonzero(~whole & (text > 0))
+        start, end = np.concatenate([start, other]), np.concatenate([end, other + 1])
+        piece = np.concatenate([piece, text[other] + self.model.first_character])
+        depth = end - begins[np.searchsorted(begins, start, "right") - 1]
+        order = np.argsort(depth, kind="stable")
+        start, end, piece, depth = start[order], end[order], piece[order], depth[order]
+        steps = np.searchsorted(depth, np.arange(1, int(sizes.max()) + 2))
+        last = np.full(len(text) + 2, -1, np.int64)
+        last[begins] = _START
+        came = np.zeros(len(text) + 2, np.int64)
+        for x, y in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            before = last[start[x:y]]
+            on = np.flatnonzero(before != -1) + x
+            before = last[start[on]]
+            on = on[(before == _START) | self._apart(before, piece[on])]
+            last[end[on]], came[end[on]] = piece[on], start[on]
+        at, row, tokens = begins + sizes, np.arange(len(parts)), []
+        while len(at):
+            tokens.append((came[at], last[at]))
+            at = came[at]
+            open_ = at > begins[row]
+            at, row = at[open_], row[open_]
+        place, token = (np.concatenate(x) for x in zip(*tokens, strict=True))
+        order = np.argsort(place)
+        place, token = place[order], token[order]
+        cuts = np.searchsorted(place, begins[1:])
+        return [self._ids(x) for x in np.split(token, cuts)]
+
+    def _ids(self, tokens: np.ndarray) -> list[int]:
+        numbers, first = self.model.numbers, self.model.first_character
+        row: list[int] = []
+        for t in tokens.tolist():
+            if t < first:
+                row.append(numbers[t])
+            else:
+                row += [self.model.byte_ids[b] for b in chr(t - first).encode()]
+        return row
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges over both tokens' characters end in these two tokens."""
-        k = (left, right)
-        known = self.apart.get(k)
-        if known is None:
-            if len(self.apart) > MEMO:
-                self.apart.clear()
-            known = self.apart[k] = self.model.merged(left + right) == [left, right]
-        return known
+        keys = (np.maximum(left, 0) << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
+        unknown = (self.pairs[at] != keys) if len(self.pairs) else np.ones(len(keys), bool)
+        unknown &= left != _START
+        if unknown.any():
+            names, first, merged = self.model.matrix[2], self.model.first_character, self.model.merged
+            name = lambda t: names[t] if t < first else chr(t - first)
+            new = np.unique(keys[unknown])
+            pairs = [(name(k >> 32), name(k & 0xFFFFFFFF)) for k in new.tolist()]
+            values = np.array([merged(a + b) == [a, b] for a, b in pairs])
+            keep = len(self.pairs) < 5 * MEMO
+            pairs, apart = (np.concatenate([self.pairs, new]), np.concatenate([self.values, values])) if keep else (new, values)
+            order = np.argsort(pairs)
+            self.pairs, self.values = pairs[order], apart[order]
+            return self._apart(left, right)
+        return self.values[at] if len(self.pairs) else np.zeros(len(keys), bool)
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of all places where pieces stand in the text."""
         matrix, sizes, _ = self.model.matrix
+        matrix = matrix.astype(text.dtype)
         reach = matrix.shape[1]
         n = len(text)
         alphabet, order = np.unique(text, return_inverse=True)

@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from webloom.llm import decontaminate, language_id, licenses, quality_model, quality_rules
+from webloom.llm import decontaminate, language_id, licenses, pieces, quality_model, quality_rules
 
 QUERIES = {
     f.__name__: f
     for f in (
         language_id.op1_language_id,
         licenses.op3_license_scan,
+        pieces.op6_sentencepiece,
         quality_model.op7_quality_classifier,
         quality_rules.op8_quality_rules,
         decontaminate.op10_decontamination,
