@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from webloom.llm import decontaminate, language_id, licenses, pieces, quality_model, quality_rules
+from webloom.llm import decontaminate, language_id, licenses, pieces, quality_model, quality_rules, token_store
 
 QUERIES = {
     f.__name__: f
     for f in (
         language_id.op1_language_id,
+        token_store.op2_token_store,
         licenses.op3_license_scan,
         pieces.op6_sentencepiece,
         quality_model.op7_quality_classifier,
