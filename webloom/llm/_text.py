@@ -107,6 +107,11 @@ def map_blocks(
     return picked.mapInArrow(run, fields)
 
 
+def kept(keep: tuple[str, ...]):
+    """The columns to carry along, as one struct called ``kept``: their names can't clash with others."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).cast("int").alias("none")]).alias("kept")
+
+
 _powers: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
 
 

@@ -162,22 +162,21 @@ def _matches(block: _text.Block, windows: Windows) -> tuple[np.ndarray, list[lis
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = 13, max_benchmark_bytes: int = 32 << 20
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = 13, max_benchmark_bytes: int = 32 << 20, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(key, n_words, n_hit, runs, items): for each document the runs of words inside a benchmark window
+    """(key, n_words, n_hit, runs, items, kept): for each document the runs of words inside a benchmark window
     [first, after the last) and the ids, as strings, of the items with a window in it."""
     spark = docs.sparkSession
     picked = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null")
     size = picked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     groups = -(-size // max_benchmark_bytes) or 1
     kind = dict(docs.dtypes)[key]
-    columns = {"key": key, "text": text}
-    schema = f"key {kind}, n_words long, runs array<struct<a:long,b:long>>, items array<string>"
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), _text.kept(keep))
+    columns = {"key": "key", "text": "text", "kept": "kept"}
+    schema = f"key {kind}, kept {dict(docs.dtypes)['kept']}, n_words long, runs array<struct<a:long,b:long>>, items array<string>"
     if groups > 1:
-        docs = _store.written(
-            docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), _store.work_dir(spark)
-        )
-        columns, schema = {"row": "row", "key": "key", "text": "text"}, "row long, " + schema
+        docs = _store.written(docs.select(F.monotonically_increasing_id().alias("row"), "*"), _store.work_dir(spark))
+        columns, schema = {"row": "row", **columns}, "row long, " + schema
     parts = []
     for g in range(groups):
         part = picked if groups == 1 else picked.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
@@ -200,10 +199,10 @@ def benchmark_matches(
     if groups > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("row").agg(F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        out = out.groupBy("row").agg(F.first("key").alias("key"), F.first("kept").alias("kept"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         out = out.withColumn("runs", _united("runs"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["b"] - r["a"])
-    return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), "runs", F.array_sort("items").alias("items"))
+    return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), "runs", F.array_sort("items").alias("items"), "kept")
 
 
 def _united(runs: str):

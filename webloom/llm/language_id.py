@@ -60,11 +60,11 @@ def train_language_id(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return net.fit(windows, targets, steps=steps, batch=64)
 
 
-def identify_languages(docs: DataFrame, net: ByteCNN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, probabilities): ``probabilities`` in the order of ``net.classes``."""
+def identify_languages(docs: DataFrame, net: ByteCNN, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lang_pred, score, probabilities, kept): ``probabilities`` in the order of ``net.classes``."""
     kind = dict(docs.dtypes)[key]
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("letters"), _text.kept(keep))
 
     def work(block: _text.Block) -> dict:
         net = sent.value
@@ -80,12 +80,13 @@ def identify_languages(docs: DataFrame, net: ByteCNN, key: str = "doc_id", text:
         best = p.argmax(axis=1) if n else np.zeros(block.n, int)
         return {
             "key": block.columns["key"],
+            "kept": block.columns["kept"],
             "lang_pred": [net.classes[b] if x else UNKNOWN for b, x in zip(best.tolist(), letters.tolist(), strict=True)],
             "score": np.where(letters, p.max(axis=1, initial=0), 0.0),
             "probabilities": [r if x else [] for r, x in zip(p.tolist(), letters.tolist(), strict=True)],
         }
 
-    out = _text.map_blocks(rows, {"key": "key", "text": "text", "letters": "letters"}, work, f"key {kind}, lang_pred string, score double, probabilities array<double>")
+    out = _text.map_blocks(rows, {c: c for c in rows.columns}, work, f"key {kind}, lang_pred string, score double, probabilities array<double>, kept {dict(rows.dtypes)['kept']}")
     return out.withColumnRenamed("key", key)
 
 

@@ -63,7 +63,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
     """(row, key, kept, text, n_lines, n_removed_chunks, n_removed_bytes): every row with what is left of its text."""
     path = _store.work_dir(df.sparkSession)
     picked = df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).cast("int").alias("none")]).alias("kept"), F.col(f"`{text}`").alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), _text.kept(keep), F.col(f"`{text}`").alias("text")
     )
     kinds = dict(picked.dtypes)
 

@@ -167,7 +167,7 @@ class Staged:
     def __init__(self, df: DataFrame, key: str, text: str, keep: tuple[str, ...], k: int, sketch: SetSketch, rows: int):
         spark = df.sparkSession
         self.path = _store.work_dir(spark)
-        picked = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).cast("int").alias("none")]).alias("kept"))
+        picked = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), _text.kept(keep))
         picked = picked.select(F.monotonically_increasing_id().alias("row"), "key", "kept", F.col("text").isNull().alias("missing"), "text")
         kinds = dict(picked.dtypes)
         bands = sketch.m // rows
@@ -249,6 +249,22 @@ def near_duplicates(
     return found.join(table.drop("bands", "registers", "d1", "d2"), "row")
 
 
+def with_texts(found: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with their texts in place of ``z``."""
+    others = [c for c in found.columns if c not in ("z", "missing")]
+    fields = found.select(*others).withColumn("text", F.lit("")).schema
+
+    def unpack(batches):
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            z, missing = b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist()
+            texts = pa.array([None if m else d.decompress(x).decode() for x, m in zip(z, missing, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(others))], texts], [*others, "text"])
+
+    fields["text"].nullable = True
+    return found.select(*others, "z", "missing").mapInArrow(unpack, fields)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
     return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))

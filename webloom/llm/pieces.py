@@ -23,6 +23,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webloom.llm import _text
 
@@ -285,15 +286,14 @@ def decoded(ids: np.ndarray, model: Model) -> str:
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
-def encode_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, model: str | None = None) -> DataFrame:
-    """(key, ids array<int>). ``model``: the path of a model file that every executor has."""
-    return _with_pieces(df, key, text, model, True)
+def encode_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ids array<int>, n_pieces, ids_crc32, round_trip, kept). ``model``: the path of a model file that every executor has."""
+    return _with_pieces(df, key, text, model, keep)
 
 
 def decode_pieces(df: DataFrame, key: str = "doc_id", ids: str = "ids", *, model: str | None = None) -> DataFrame:
     """(key, text): null ids give null."""
     m = _model(model or _default())
-    from pyspark.sql import functions as F
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType([StructField("key", df.schema[key].dataType), StructField("text", StringType())])
@@ -312,7 +312,7 @@ def _default() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def _with_pieces(df: DataFrame, key: str, text: str, model: str | None, with_ids: bool) -> DataFrame:
+def _with_pieces(df: DataFrame, key: str, text: str, model: str | None, keep: tuple[str, ...] | None) -> DataFrame:
     m = _model(model or _default())
     kind = dict(df.dtypes)[key]
     encoders: list[Encoder] = []
@@ -322,25 +322,27 @@ def _with_pieces(df: DataFrame, key: str, text: str, model: str | None, with_ids
             encoders.append(Encoder(m))
         texts = block.columns["text"].to_pylist()
         coded = encoders[0].encode(texts)
-        out = {"key": block.columns["key"]}
-        if with_ids:
-            counts = np.array([len(c) // 4 for c in coded], np.int64)
-            return out | {"ids": _text.ragged_lists(np.frombuffer(b"".join(coded), "<i4"), counts, pa.int32())}
         ids = [np.frombuffer(c, "<u4") for c in coded]
-        return out | {
+        out = {
+            "key": block.columns["key"],
             "n_pieces": [len(x) for x in ids],
             "ids_crc32": [zlib.crc32(c) for c in coded],
             "round_trip": [decoded(x, m) == (t or "") for x, t in zip(ids, texts, strict=True)],
         }
+        if keep is None:
+            return out
+        flat = _text.ragged_lists(np.frombuffer(b"".join(coded), "<i4"), np.array([len(x) for x in ids], np.int64), pa.int32())
+        return out | {"ids": flat, "kept": block.columns["kept"]}
 
-    schema = f"key {kind}, " + ("ids array<int>" if with_ids else "n_pieces long, ids_crc32 long, round_trip boolean")
-    return _text.map_blocks(df, {"key": key, "text": text}, work, schema, 4 << 20).withColumnRenamed("key", key)
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *([] if keep is None else [_text.kept(keep)]))
+    schema = f"key {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ("" if keep is None else f", ids array<int>, kept {dict(rows.dtypes)['kept']}")
+    return _text.map_blocks(rows, {c: c for c in rows.columns}, work, schema, 4 << 20).withColumnRenamed("key", key)
 
 
 def round_trips(df: DataFrame, key: str = "doc_id", text: str = "text", *, model: str | None = None) -> DataFrame:
     """(key, n_pieces, ids_crc32, round_trip): ids encoded, as little-endian 32-bit integers for the CRC,
     and whether they decode to the text."""
-    return _with_pieces(df, key, text, model, False)
+    return _with_pieces(df, key, text, model, None)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
