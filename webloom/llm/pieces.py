@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from webloom.llm import _text
 
 _SPACE = "▁"
-#: Encodings of parts that a Python worker keeps between batches, at most.
-MEMO = 200_000
+#: Encodings of parts in each of the two generations that a Python worker keeps between batches and tasks.
+MEMO = 300_000
 _START = -2
 
 
@@ -128,11 +128,13 @@ def _model(path: str) -> Model:
 
 
 class Encoder:
-    """Encodes batches; keeps parts seen before, up to ``MEMO`` of them, as bytes of 32-bit ids."""
+    """Encodes batches; keeps parts seen before, as bytes of 32-bit ids. A full generation replaces the one
+    before it, from which parts still in use are taken over."""
 
     def __init__(self, model: Model):
         self.model = model
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Pairs of tokens whose seam has been tried, in order, and whether they stay apart.
         self.pairs, self.values = np.zeros(0, np.int64), np.zeros(0, bool)
         self.runs: dict[int, list[int]] = {}
@@ -141,8 +143,11 @@ class Encoder:
         cut = self.model.parts.findall
         parts = [cut(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         new = {p for doc in parts for p in doc} - self.memo.keys()
+        known = new & self.older.keys()
+        self.memo.update((p, self.older[p]) for p in known)
+        new -= known
         if new:
             self._learn(sorted(new))
         get = self.memo.__getitem__
@@ -229,7 +234,7 @@ class Encoder:
             new = np.unique(keys[unknown])
             pairs = [(name(k >> 32), name(k & 0xFFFFFFFF)) for k in new.tolist()]
             values = np.array([merged(a + b) == [a, b] for a, b in pairs])
-            keep = len(self.pairs) < 5 * MEMO
+            keep = len(self.pairs) < 4 * MEMO
             pairs, apart = (np.concatenate([self.pairs, new]), np.concatenate([self.values, values])) if keep else (new, values)
             order = np.argsort(pairs)
             self.pairs, self.values = pairs[order], apart[order]
@@ -280,6 +285,16 @@ class Encoder:
         return start, start + sizes[piece], piece
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(model: Model) -> Encoder:
+    """The worker's encoder, which outlives a task."""
+    if model.path not in _encoders:
+        _encoders[model.path] = Encoder(model)
+    return _encoders[model.path]
+
+
 def decoded(ids: np.ndarray, model: Model) -> str:
     """The text of a document's ids; a dummy prefix is taken off."""
     text = b"".join(map(model.outputs.__getitem__, ids.tolist()))
@@ -315,13 +330,10 @@ def _default() -> str:
 def _with_pieces(df: DataFrame, key: str, text: str, model: str | None, keep: tuple[str, ...] | None) -> DataFrame:
     m = _model(model or _default())
     kind = dict(df.dtypes)[key]
-    encoders: list[Encoder] = []
 
     def work(block: _text.Block) -> dict:
-        if not encoders:
-            encoders.append(Encoder(m))
         texts = block.columns["text"].to_pylist()
-        coded = encoders[0].encode(texts)
+        coded = _encoder(m).encode(texts)
         ids = [np.frombuffer(c, "<u4") for c in coded]
         out = {
             "key": block.columns["key"],
