@@ -262,6 +262,13 @@ class Parser:
         return True
 
     def _node(self) -> KdlNode | None:
+        node = self._plain_node()
+        if node is not None:
+            last = self.tokens[self.at - 1]
+            node.span = Span(node.span.file, node.span.start, self.lexer.point(last.end))
+        return node
+
+    def _plain_node(self) -> KdlNode | None:
         self._annotated()
         t = self.here
         if t.kind == "ident" or t.kind == "value" and isinstance(t.value, str):
@@ -313,7 +320,7 @@ class Parser:
                     return node
                 self.at += 1
                 if not hidden:
-                    node.props.append((t.value, Value(v.value, self.span(v)), self.span(t)))
+                    node.props.append((t.value, Value(v.value, self.span(v)), self.lexer.span(t.start, v.end)))
             elif t.kind == "value":
                 self.at += 1
                 if not hidden:
