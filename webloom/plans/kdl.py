@@ -262,10 +262,13 @@ class Parser:
         return True
 
     def _node(self) -> KdlNode | None:
+        """A node; its span ends with its last argument or its block."""
+        first = self.here
         node = self._plain_node()
         if node is not None:
             last = self.tokens[self.at - 1]
-            node.span = Span(node.span.file, node.span.start, self.lexer.point(last.end))
+            ends = [v.span.end for v in node.args] + [self.lexer.point(last.end)] * (last.kind == "}" and last.start > first.start)
+            node.span = Span(node.span.file, node.span.start, max([node.span.end, *ends]))
         return node
 
     def _plain_node(self) -> KdlNode | None:
