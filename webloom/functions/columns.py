@@ -48,7 +48,7 @@ def _percent_decoded(x: Column, plus: bool) -> Column:
     return F.try_url_decode(x if plus else F.replace(x, F.lit("+"), F.lit("%2B")))
 
 
-def builtin(name: str, x: Column, *positional, _given: str = "string", **properties) -> tuple[Column, Column]:
+def builtin(name: str, x: Column, /, *positional, _given: str = "string", **properties) -> tuple[Column, Column]:
     """(value, failed). Properties are written with underscores: ``case_sensitive``, ``as_``."""
     named = {k.rstrip("_").replace("_", "-"): v for k, v in properties.items()}
     args = {a.name: a.default for a in BUILTINS[name].args} | named
