@@ -111,4 +111,6 @@ def public_internet(url: str) -> str | None:
     return "address is not global" if inside(_PRIVATE) and not inside(_GLOBAL) else None
 
 
-public_internet_column = F.udf(public_internet, "string", useArrow=True)
+def public_internet_column(url: Column) -> Column:
+    """Why each URL may not be fetched, or null."""
+    return F.udf(public_internet, "string", useArrow=True)(url)
