@@ -121,7 +121,7 @@ class SetSketch:
         return possible & (d >= 0)
 
 
-def linked(hashes: list[np.ndarray], percent: int, tried: np.ndarray | None = None, columns: int = 4096) -> np.ndarray:
+def linked(hashes: list[np.ndarray], percent: int, tried: np.ndarray | None = None, columns: int = 2048) -> np.ndarray:
     """A matrix of which sets have 100 * intersection >= percent * union."""
     n = len(hashes)
     sizes = np.array([len(h) for h in hashes], np.int64)
@@ -133,14 +133,16 @@ def linked(hashes: list[np.ndarray], percent: int, tried: np.ndarray | None = No
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((n, n), np.float32)
+    block = np.zeros((n, columns), np.float32)
     for a in range(0, int(shared.sum()), columns):
         x, y = np.searchsorted(column, (a, a + columns))
-        block = np.zeros((n, columns), np.float32)
+        block[:] = 0
         block[row[x:y], column[x:y] - a] = 1
         common += block @ block.T
-    common = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - common
-    out = 100 * common >= percent * union
+    out = np.empty((n, n), bool)
+    for a in range(0, n, 256):
+        part = common[a : a + 256].astype(np.int64)
+        out[a : a + 256] = 100 * part >= percent * (sizes[a : a + 256, None] + sizes[None, :] - part)
     np.fill_diagonal(out, False)
     return out if tried is None else out & tried
 
@@ -200,7 +202,7 @@ class Staged:
 
 
 def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), k: int = 5, percent: int = 80, m: int = 96, rows: int = 4, margin: float = 0.25, block_rows: int = 512, block_bytes: int = 8 << 20
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), k: int = 5, percent: int = 80, m: int = 96, rows: int = 4, margin: float = 0.25, block_rows: int = 1024, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """(row, key, kept, text columns packed as ``z``, n, component, first): per row the size of its set, its
     component's smallest key, and whether it is the row that represents the component."""
@@ -210,11 +212,13 @@ def near_duplicates(
     table, path = staged.table, staged.path
     classes = table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("class"))
     classes = _store.written(classes, f"{path}/classes")
-    sole = table.select("row", "bands", "z").join(classes.select(F.col("class").alias("row")), "row").select("row", F.explode("bands").alias("band"), F.length("z").alias("bytes"))
+    sole = table.select("row", "bands", F.length("z").alias("bytes")).join(classes.select(F.col("class").alias("row")), "row").select("row", F.explode("bands").alias("band"), "bytes")
     sole = _store.written(sole, f"{path}/bands")
     centres = sole.groupBy("band").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = _store.written(sole.join(centres, "band").select("centre", "row", "bytes").distinct(), f"{path}/members")
-    sizes = members.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("k"))
+    # Members that fit into two blocks stay together; else every two blocks meet.
+    share = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
+    sizes = members.groupBy("centre").agg(F.when(share <= 2, 1).otherwise(share).alias("k"))
     met = members.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
     others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("mine")))
     met = met.select("row", "centre", "mine", F.explode(others).alias("other")).select("row", "centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -227,7 +231,7 @@ def near_duplicates(
         row = row[order]
         n = block.column("n").to_numpy()[order]
         registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint16).reshape(len(row), -1)[order]
-        tried = sketch.at_least(low, registers, registers, n, n)
+        tried = np.concatenate([sketch.at_least(low, registers[a : a + 256], registers, n[a : a + 256], n) for a in range(0, len(row), 256)])
         np.fill_diagonal(tried, False)
         some = np.flatnonzero(tried.any(axis=0))
         edges = []
