@@ -153,7 +153,8 @@ def _dom_tags(spark, sf_dir):
 
 @query("dom_selectors", f"select page_id, 'nav ul > li:nth-child(2) a' as selector, 1::bigint as n from pages union all select page_id, 'article > p', {_PARAGRAPHS} from pages union all select page_id, 'li + li', len({_HREFS}) - 1 from pages union all select page_id, 'h1 ~ p', {_PARAGRAPHS} from pages union all select page_id, 'h1, div.ad', 2 from pages")
 def _dom_selectors(spark, sf_dir):
-    nodes = dom.dom_nodes(table(spark, sf_dir, "pages"), text=False)
+    # Dealt by page: every use below reuses this one exchange, so pages are parsed once.
+    nodes = dom.dom_nodes(table(spark, sf_dir, "pages"), text=False).repartition("page_id")
     out = None
     for s in ("nav ul > li:nth-child(2) a", "article > p", "li + li", "h1 ~ p", "h1, div.ad"):
         part = dom.select_nodes(nodes, s).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(s).alias("selector"), "n")
