@@ -5,6 +5,7 @@ and a passage repeated elsewhere is cut alike after its first two lines. Of ever
 with words that occurs more than once anywhere, the first place (by key, nulls last, then row and place)
 stays; the others are removed once their bytes have been compared with the first's.
 
+Joins are sort-merge joins at every size, so plans and what they move don't change as tables grow.
 Work moves hashes, not texts: chunks are counted by hash with partial sums, only rows with a repeated chunk
 are looked up again, and only repeated chunks' bytes are sent to be compared.
 
@@ -80,7 +81,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
     table = _store.written(_text.map_blocks(picked, {c: c for c in picked.columns}, pack, schema), f"{path}/texts")
     places = table.select("row", F.struct(F.col("key").isNull().alias("no"), "key", "row").alias("rank"), F.explode("chunks").alias("c")).select("row", "rank", "c.h", "c.at")
     firsts = places.groupBy("h").agg(F.min(F.struct("rank", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h", F.col("f.rank.row").alias("f_row"), F.col("f.at").alias("f_at"))
-    repeats = places.select("h", "row", "at").join(firsts, "h").select("h", "row", "at", ((F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at"))).alias("is_first"))
+    repeats = places.select("h", "row", "at").join(firsts.hint("merge"), "h").select("h", "row", "at", ((F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at"))).alias("is_first"))
     repeats = _store.written(repeats, f"{path}/repeats")
     wanted = repeats.groupBy("row").agg(F.collect_list(F.struct("at", "h", "is_first")).alias("wanted"))
 
@@ -97,11 +98,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
                         out.append((c["h"], row, c["at"], c["is_first"], _body(data, int(begins[k]), int(ends[k]))))
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["h", "row", "at", "is_first", "body"])
 
-    bodies = table.select("row", "z").join(wanted, "row").select("row", "wanted", "z").mapInArrow(cut, "h long, row long, at int, is_first boolean, body binary")
+    bodies = table.select("row", "z").join(wanted.hint("merge"), "row").select("row", "wanted", "z").mapInArrow(cut, "h long, row long, at int, is_first boolean, body binary")
     bodies = _store.written(bodies, f"{path}/bodies")
     left = bodies.where("not is_first").select("h", "row", "at", "body")
     right = bodies.where("is_first").select("h", F.col("body").alias("first_body"))
-    same = left.join(right, "h").where(F.col("body") == F.col("first_body")).groupBy("row").agg(F.collect_list("at").alias("gone"))
+    same = left.join(right.hint("merge"), "h").where(F.col("body") == F.col("first_body")).groupBy("row").agg(F.collect_list("at").alias("gone"))
 
     def rewrite(batches):
         for b in batches:
@@ -130,7 +131,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
                     ["row", "key", "kept", "text", "n_lines", "n_removed_chunks", "n_removed_bytes"],
                 )
 
-    whole = table.drop("chunks").join(same, "row", "left").select("row", "key", "kept", "missing", "gone", "z")
+    whole = table.drop("chunks").join(same.hint("merge"), "row", "left").select("row", "key", "kept", "missing", "gone", "z")
     return whole.mapInArrow(rewrite, f"row long, key {kinds['key']}, kept {kinds['kept']}, text string, n_lines long, n_removed_chunks long, n_removed_bytes long")
 
 
