@@ -13,6 +13,8 @@
    as products of 0/1 matrices. Only a spanning forest of the links found is returned, never the pairs.
 5. Components of these links (``components``).
 
+Joins are sort-merge joins at every size, so plans and what they move don't change as tables grow.
+
 A pair at the threshold is missed if it shares no band (0.8: 3e-6 with 24 bands of 4) or if its estimate is
 off by more than ``margin`` (6 standard deviations with the default). A group whose members lie near the
 threshold without reaching it costs block pairs in the square of its size, spread over tasks.
@@ -212,17 +214,17 @@ def near_duplicates(
     table, path = staged.table, staged.path
     classes = table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("class"))
     classes = _store.written(classes, f"{path}/classes")
-    sole = table.select("row", "bands", F.length("z").alias("bytes")).join(classes.select(F.col("class").alias("row")), "row").select("row", F.explode("bands").alias("band"), "bytes")
+    sole = table.select("row", "bands", F.length("z").alias("bytes")).join(classes.select(F.col("class").alias("row")).hint("merge"), "row").select("row", F.explode("bands").alias("band"), "bytes")
     sole = _store.written(sole, f"{path}/bands")
     centres = sole.groupBy("band").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = _store.written(sole.join(centres, "band").select("centre", "row", "bytes").distinct(), f"{path}/members")
+    members = _store.written(sole.join(centres.hint("merge"), "band").select("centre", "row", "bytes").distinct(), f"{path}/members")
     # Members that fit into two blocks stay together; else every two blocks meet.
     share = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
     sizes = members.groupBy("centre").agg(F.when(share <= 2, 1).otherwise(share).alias("k"))
     met = members.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
     others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("mine")))
     met = met.select("row", "centre", "mine", F.explode(others).alias("other")).select("row", "centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    met = met.join(table.select("row", "n", "registers", "z"), "row")
+    met = met.join(table.select("row", "n", "registers", "z").hint("merge"), "row")
     low = percent / 100 - margin
 
     def compare(block: pa.Table) -> pa.Table:
@@ -246,11 +248,11 @@ def near_duplicates(
     edges = met.groupBy("centre", "i", "j").applyInArrow(compare, "a long, b long")
     roots = connected(edges, f"{path}/components")
     of_class = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("d1", "d2", "n", F.coalesce("root", "class").alias("root"))
-    rows_ = table.select("row", "key", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").select("row", "key", F.coalesce("root", "row").alias("root"))
+    rows_ = table.select("row", "key", "n", "d1", "d2").join(of_class.hint("merge"), ["d1", "d2", "n"], "left").select("row", "key", F.coalesce("root", "row").alias("root"))
     # The smallest key, nulls last, and of equal keys the first row.
     first = rows_.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row")).alias("best"))
-    found = rows_.join(first, "root").select("row", F.col("best.key").alias("component"), (F.col("best.row") == F.col("row")).alias("first"))
-    return found.join(table.drop("bands", "registers", "d1", "d2"), "row")
+    found = rows_.join(first.hint("merge"), "root").select("row", F.col("best.key").alias("component"), (F.col("best.row") == F.col("row")).alias("first"))
+    return found.join(table.drop("bands", "registers", "d1", "d2").hint("merge"), "row")
 
 
 def with_texts(found: DataFrame) -> DataFrame:
