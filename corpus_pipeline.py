@@ -34,8 +34,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five words a shingle, similarity 0.8 or more."""
-    found = near_dups.near_duplicates(docs, keep=("lang", "source"))
-    return _columns(near_dups.with_texts(found.where("first")))
+    found = near_dups.near_duplicates(docs, keep=("lang", "source"), keep_texts=True)
+    return _columns(_store.with_texts(found.where("first")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

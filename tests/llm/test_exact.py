@@ -337,8 +337,8 @@ def test_line_dedup_against_brute_force(spark):
 
     rng = random.Random(3)
     lines = [f"line number {i} of some text" for i in range(400)]
-    shared = lines[:12]
-    rows = [(i, "\n".join(rng.sample(lines[12:], rng.randrange(1, 9)) + (shared if i % 3 == 0 else []) + rng.sample(lines[12:], 3) + [f"own {i}"])) for i in range(30)]
+    shared = lines[:40]
+    rows = [(i, "\n".join(rng.sample(lines[40:], rng.randrange(1, 9)) + (shared if i % 3 == 0 else []) + rng.sample(lines[40:], 3) + [f"own {i}"])) for i in range(30)]
     got = {r["key"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     seen, want = set(), {}
     for d, t in sorted(rows):

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webloom.llm import _text
 
@@ -30,13 +31,32 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
     for path in _made:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
+
+
+def settled(df: DataFrame, *paths: str) -> DataFrame:
+    """``df`` computed and checkpointed in the shared folder, and the tables below ``paths`` that it was made
+    from deleted. Spark deletes the checkpoint with the last plan that reads it, if
+    spark.cleaner.referenceTracking.cleanCheckpoints says so."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    out = df.checkpoint()
+    for path in paths:
+        _delete(spark, path)
+        if path in _made:
+            _made.remove(path)
+    return out
 
 
 def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
@@ -59,3 +79,19 @@ def unpacked(blobs: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     offs = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offs[1:])
     return np.frombuffer(b"".join(texts), np.uint8), offs
+
+
+def with_texts(found: DataFrame) -> DataFrame:
+    """Texts in place of the columns ``z`` and ``missing`` (whether it was null)."""
+    others = [c for c in found.columns if c not in ("z", "missing")]
+    fields = found.select(*others).withColumn("text", F.lit("")).schema
+
+    def unpack(batches):
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            z, missing = b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist()
+            texts = pa.array([None if m else d.decompress(x).decode() for x, m in zip(z, missing, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(others))], texts], [*others, "text"])
+
+    fields["text"].nullable = True
+    return found.select(*others, "z", "missing").mapInArrow(unpack, fields)

@@ -16,10 +16,9 @@ columns come back only if named in ``keep``, inside one struct, so their names n
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +109,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
                 begins, ends, docs, _, _ = line_chunks(block.buf, block.offs, every)
                 bounds = np.searchsorted(docs, np.arange(block.n + 1))
                 data = block.buf.tobytes()
-                texts, lines, removed, size = [], [], [], []
+                lines, removed, size, packed = [], [], [], []
+                pack = zstandard.ZstdCompressor(level=3)
                 for d, gone in enumerate(block.columns["gone"].to_pylist()):
                     a, z = int(block.offs[d]), int(block.offs[d + 1])
                     whole = data[a:z]
@@ -122,17 +122,19 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
                         whole = b"".join(data[begins[k] : ends[k]] for k in stay)
                         if whole.endswith(b"\n") and not data[a:z].endswith(b"\n"):
                             whole = whole[:-1]
-                    texts.append(whole.decode())
+                    packed.append(pack.compress(whole))
                     removed.append(len(gone or ()))
-                    size.append(z - a - len(whole.encode() if isinstance(whole, str) else whole))
-                missing = block.columns["missing"].to_pylist()
+                    size.append(z - a - len(whole))
+                missing = block.columns["missing"]
                 yield pa.RecordBatch.from_arrays(
-                    [block.columns["row"], block.columns["key"], block.columns["kept"], pa.array([None if m else t for m, t in zip(missing, texts, strict=True)], pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(size, pa.int64())],
-                    ["row", "key", "kept", "text", "n_lines", "n_removed_chunks", "n_removed_bytes"],
+                    [block.columns["row"], block.columns["key"], block.columns["kept"], missing, pa.array(packed, pa.binary()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(size, pa.int64())],
+                    ["row", "key", "kept", "missing", "z", "n_lines", "n_removed_chunks", "n_removed_bytes"],
                 )
 
     whole = table.drop("chunks").join(same.hint("merge"), "row", "left").select("row", "key", "kept", "missing", "gone", "z")
-    return whole.mapInArrow(rewrite, f"row long, key {kinds['key']}, kept {kinds['kept']}, text string, n_lines long, n_removed_chunks long, n_removed_bytes long")
+    done = whole.mapInArrow(rewrite, f"row long, key {kinds['key']}, kept {kinds['kept']}, missing boolean, z binary, n_lines long, n_removed_chunks long, n_removed_bytes long")
+    done = _store.settled(done, path)
+    return _store.with_texts(done).select("row", "key", "kept", "text", "n_lines", "n_removed_chunks", "n_removed_bytes")
 
 
 def _unpack(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -31,7 +31,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,9 +203,9 @@ class Staged:
 
 
 def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), k: int = 5, percent: int = 80, m: int = 96, rows: int = 4, margin: float = 0.25, block_rows: int = 1024, block_bytes: int = 8 << 20
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), k: int = 5, percent: int = 80, m: int = 96, rows: int = 4, margin: float = 0.25, block_rows: int = 1024, block_bytes: int = 8 << 20, keep_texts: bool = False
 ) -> DataFrame:
-    """(row, key, kept, text columns packed as ``z``, n, component, first): per row the size of its set, its
+    """(row, key, kept, n, component, first, and texts packed as ``z`` if ``keep_texts``): per row the size of its set, its
     component's smallest key, and whether it is the row that represents the component."""
     spark = df.sparkSession
     sketch = SetSketch(m)
@@ -252,23 +251,8 @@ def near_duplicates(
     # The smallest key, nulls last, and of equal keys the first row.
     first = rows_.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row")).alias("best"))
     found = rows_.join(first.hint("merge"), "root").select("row", F.col("best.key").alias("component"), (F.col("best.row") == F.col("row")).alias("first"))
-    return found.join(table.drop("bands", "registers", "d1", "d2").hint("merge"), "row")
-
-
-def with_texts(found: DataFrame) -> DataFrame:
-    """The rows of ``near_duplicates`` with their texts in place of ``z``."""
-    others = [c for c in found.columns if c not in ("z", "missing")]
-    fields = found.select(*others).withColumn("text", F.lit("")).schema
-
-    def unpack(batches):
-        d = zstandard.ZstdDecompressor()
-        for b in batches:
-            z, missing = b.column(len(others)).to_pylist(), b.column(len(others) + 1).to_pylist()
-            texts = pa.array([None if m else d.decompress(x).decode() for x, m in zip(z, missing, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(others))], texts], [*others, "text"])
-
-    fields["text"].nullable = True
-    return found.select(*others, "z", "missing").mapInArrow(unpack, fields)
+    table = table.drop("bands", "registers", "d1", "d2", *([] if keep_texts else ["z", "missing"]))
+    return _store.settled(found.join(table.hint("merge"), "row"), path)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

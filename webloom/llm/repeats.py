@@ -254,7 +254,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", *, le
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(p.offs)), _text.ragged_lists(flat, np.array([len(s) for s in spans]), None), pa.array(shas, pa.string())], ["key", "n_bytes", "spans", "kept_sha256"])
 
     done = packs.join(_by_pack(told), "pack", "left").mapInArrow(finish, f"key {kind}, n_bytes long, spans array<struct<a:long,b:long>>, kept_sha256 string")
-    return done.withColumnRenamed("key", key)
+    return _store.settled(done, path).withColumnRenamed("key", key)
 
 
 def _by_pack(told: DataFrame) -> DataFrame:

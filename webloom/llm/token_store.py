@@ -383,4 +383,4 @@ def _default() -> str:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _store.work_dir(spark)
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return document_checksums(spark, path).withColumnRenamed("key", "doc_id")
+    return _store.settled(document_checksums(spark, path), path).withColumnRenamed("key", "doc_id")
