@@ -158,6 +158,7 @@ def test_ir_and_schema():
     assert p.schema.simpleString() == "struct<n:smallint,c:array<struct<a:string>>>"
     ir = json.loads(p.ir_json())
     assert ir["capabilities"] == ["http.fetch"] and ir["output"]["members"][0]["effectiveType"]["kind"] == "nullable"
+    assert p.descriptor() == {"source": {"fetchMode": "http", "urlTemplate": "https://example.invalid/", "sessionPolicy": "none"}}
     assert p.ir_json() == json.dumps(ir, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 

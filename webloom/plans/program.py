@@ -120,6 +120,10 @@ class Program:
         """value, ordered warnings, partial, and the error of a record that failed."""
         return T.StructType([T.StructField("value", self.schema), T.StructField("warnings", T.ArrayType(_WARNING)), T.StructField("partial", T.BooleanType()), T.StructField("error", _ERROR)])
 
+    def descriptor(self) -> dict:
+        """What a host must know to acquire the page."""
+        return {"source": {"fetchMode": self.mode, "urlTemplate": self.raw_url, "sessionPolicy": self.session}}
+
     def externals(self) -> list[str]:
         return sorted({t.external for t in self.transforms.values() if t.kind == "external"})
 
