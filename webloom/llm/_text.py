@@ -6,6 +6,8 @@ as long as ``block_bytes`` or as its one document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -96,17 +98,29 @@ def map_blocks(
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, "text", block_bytes):
-                out = work(block)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)],
-                        schema=arrow,
-                    )
+            yield from one(batch)
+        release()
+
+    def one(batch):
+        for block in blocks(batch, "text", block_bytes):
+            out = work(block)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)],
+                    schema=arrow,
+                )
 
     return picked.mapInArrow(run, fields)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a Python worker outlives its tasks, and the next stage
+    needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(keep: tuple[str, ...]):
     """The columns to carry along, as one struct called ``kept``: their names can't clash with others."""
     return F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).cast("int").alias("none")]).alias("kept")

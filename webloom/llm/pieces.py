@@ -29,7 +29,7 @@ from webloom.llm import _text
 
 _SPACE = "▁"
 #: Encodings of parts in each of the two generations that a Python worker keeps between batches and tasks.
-MEMO = 300_000
+MEMO = 150_000
 _START = -2
 
 
@@ -87,8 +87,8 @@ class Model:
         return out, sizes, pieces
 
     @cached_property
-    def numbers(self) -> list[int]:
-        return [self.ids[p] for p in self.matrix[2]]
+    def numbers(self) -> np.ndarray:
+        return np.array([self.ids[p] for p in self.matrix[2]], "<u4")
 
     @property
     def first_character(self) -> int:
@@ -137,7 +137,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         #: Pairs of tokens whose seam has been tried, in order, and whether they stay apart.
         self.pairs, self.values = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.runs: dict[int, list[int]] = {}
+        self.runs: dict[int, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = self.model.parts.findall
@@ -157,7 +157,7 @@ class Encoder:
         """Space runs before a part merge after everything else, and only with each other."""
         cores = sorted({p[len(p) - len(p.lstrip(_SPACE)) - 1 :] if p.startswith(_SPACE * 2) else p for p in new} - {_SPACE})
         found = dict(zip(cores, self._matched([c for c in cores if c.strip(_SPACE)]), strict=False)) if cores else {}
-        space = self.model.ids[_SPACE]
+        space = np.array([self.model.ids[_SPACE]], "<u4").tobytes()
         for p in new:
             k = len(p) - len(p.lstrip(_SPACE))
             if k == len(p):
@@ -165,15 +165,15 @@ class Encoder:
             else:
                 ids = found[p[max(0, k - 1) :]]
                 if k > 1:
-                    ids = self._run(k) + ids[1:] if ids[0] == space else self._run(k - 1) + ids
-            self.memo[p] = np.array(ids, "<u4").tobytes()
+                    ids = self._run(k) + ids[4:] if ids[:4] == space else self._run(k - 1) + ids
+            self.memo[p] = ids
 
-    def _run(self, k: int) -> list[int]:
+    def _run(self, k: int) -> bytes:
         if k not in self.runs:
-            self.runs[k] = [self.model.ids[p] for p in self.model.merged(_SPACE * k)]
+            self.runs[k] = np.array([self.model.ids[p] for p in self.model.merged(_SPACE * k)], "<u4").tobytes()
         return self.runs[k]
 
-    def _matched(self, parts: list[str]) -> list[list[int]]:
+    def _matched(self, parts: list[str]) -> list[bytes]:
         """The encodings of distinct parts, relaxed side by side: step k takes the edges that end k
         characters into their part. A character that is no piece is a token of its own."""
         if not parts:
@@ -209,18 +209,23 @@ class Encoder:
         place, token = (np.concatenate(x) for x in zip(*tokens, strict=True))
         order = np.argsort(place)
         place, token = place[order], token[order]
-        cuts = np.searchsorted(place, begins[1:])
-        return [self._ids(x) for x in np.split(token, cuts)]
-
-    def _ids(self, tokens: np.ndarray) -> list[int]:
-        numbers, first = self.model.numbers, self.model.first_character
-        row: list[int] = []
-        for t in tokens.tolist():
-            if t < first:
-                row.append(numbers[t])
-            else:
-                row += [self.model.byte_ids[b] for b in chr(t - first).encode()]
-        return row
+        ids, counts = self._ids(token)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.append(np.searchsorted(place, begins[1:]), len(token))].tolist()
+        blob = ids.tobytes()
+        return [blob[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _ids(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' ids, and how many each has: a character that is no piece has one for each byte."""
+        first = self.model.first_character
+        counts = np.ones(len(tokens), np.int64)
+        other = {int(i): [self.model.byte_ids[b] for b in chr(int(tokens[i]) - first).encode()] for i in np.flatnonzero(tokens >= first)}
+        for i, bytes_ in other.items():
+            counts[i] = len(bytes_)
+        ids = np.repeat(self.model.numbers[np.minimum(tokens, first - 1)], counts)
+        at = np.cumsum(counts) - counts
+        for i, bytes_ in other.items():
+            ids[at[i] : at[i] + len(bytes_)] = bytes_
+        return ids, counts
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges over both tokens' characters end in these two tokens."""
@@ -348,7 +353,7 @@ def _with_pieces(df: DataFrame, key: str, text: str, model: str | None, keep: tu
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *([] if keep is None else [_text.kept(keep)]))
     schema = f"key {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ("" if keep is None else f", ids array<int>, kept {dict(rows.dtypes)['kept']}")
-    return _text.map_blocks(rows, {c: c for c in rows.columns}, work, schema, 4 << 20).withColumnRenamed("key", key)
+    return _text.map_blocks(rows, {c: c for c in rows.columns}, work, schema, 2 << 20).withColumnRenamed("key", key)
 
 
 def round_trips(df: DataFrame, key: str = "doc_id", text: str = "text", *, model: str | None = None) -> DataFrame:
