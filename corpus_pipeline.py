@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so does a document of which that leaves no word."""
-    found = line_dedup.dedup_lines(docs, keep=("lang", "source"))
+    """Repeated passages of lines go; so does a document of which that leaves no word."""
+    found = line_dedup.dedup_lines(docs, keep=("lang", "source"), passages=True)
     emptied = (F.col("n_removed_chunks") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return _columns(found.where(~emptied))
 

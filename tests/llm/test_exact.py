@@ -357,6 +357,54 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(r["n_removed_chunks"] for r in got.values()) >= 9
 
 
+def brute_passages(rows, long_words=50):
+    """Without hashes or chunks: a line goes if an earlier place, by key, then row and line, has it with its
+    neighbour with words (and the blank lines between), or alone if it is long. (text left, runs removed) by row."""
+    seen, out = set(), []
+    for _, t in rows:
+        lines = (t or "").split("\n")
+        worded = [i for i, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for i, j in [*zip(worded, worded[1:]), *((i, i) for i in worded if len(WORD.findall(lines[i])) > long_words)]:
+            passage = "\n".join(lines[i : j + 1])
+            if passage in seen:
+                gone |= set(range(i, j + 1))
+            seen.add(passage)
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        runs = len([i for i in gone if i - 1 not in gone])
+        out.append((None if t is None else "\n".join(left), runs))
+    return out
+
+
+def test_line_passages(spark):
+    """Copies at any place and of any length, among other lines, with blank lines, at the edges of a document."""
+    import random
+
+    rng = random.Random(5)
+    lines = [f"line number {i} of some text" if i % 5 else " ".join(f"w{i * j}" for j in range(40 + i % 30)) for i in range(150)]
+    for i in range(0, 150, 7):
+        lines[i] += "\n\n \n"
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "x\nx\nx\nx"), (5, lines[0].strip()), (6, lines[0].strip()), (7, "short"), (8, "short")]
+    for d in range(10, 90):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(150)
+            parts += [rng.choice(lines) for _ in range(rng.randrange(3))] + lines[a : a + rng.randrange(1, 7)] + [f"own {d} {rng.random()}"]
+        rows.append((d, "\n".join(parts[rng.randrange(2) : len(parts) - rng.randrange(2)]) + rng.choice(["", "\n"])))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), passages=True).collect()
+    want = [(d, *x) for (d, _), x in zip(rows, brute_passages(rows), strict=True)]
+    assert bag([(r["key"], r["text"], r["n_removed_chunks"]) for r in got]) == bag(want)
+    assert sum(n for _, _, n in want) > 50
+
+
+def test_line_dedup_query(spark, sf):
+    """No repeated passage stays, whole documents included."""
+    rows = sorted(documents(sf))
+    got = line_dedup.op9_line_dedup(spark, sf).collect()
+    want = [(d, hashlib.sha256(t.encode()).hexdigest(), n) for (d, _), (t, n) in zip(rows, brute_passages(rows), strict=True)]
+    assert bag([(r["doc_id"], r["kept_sha256"], r["n_removed_chunks"]) for r in got]) == bag(want)
+
+
 # -- no rows at all ----------------------------------------------------------------------------------------
 
 

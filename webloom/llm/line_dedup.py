@@ -1,16 +1,23 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by repeated passages or by content-defined chunks of lines.
 
-A rolling hash over the last two lines' hashes chooses where a chunk ends, so boundaries shift with the text
-and a passage repeated elsewhere is cut alike after its first two lines. Of every chunk of two or more lines
-with words that occurs more than once anywhere, the first place (by key, nulls last, then row and place)
-stays; the others are removed once their bytes have been compared with the first's.
+Passages (``passages=True``, as the queries have it): every window of ``min_lines`` lines with words, with the
+blank lines between them, and every single line of more than ``long_words`` words. Of those that occur more than
+once anywhere, the first place (by key, nulls last, then row and place) stays; the lines of the others are removed
+once their bytes have been compared with the first's. Windows overlap, so a repeated run of lines goes from its
+first line to its last, wherever it begins; each line that goes still stands at an earlier place. A shorter
+line repeated alone stays, and so do blank lines at the edges of a passage.
+
+Chunks (the default): a rolling hash over the last two lines' hashes chooses where a chunk ends, so boundaries
+shift with the text and a passage repeated elsewhere is cut alike after its first two lines. The same holds for
+every chunk of ``min_lines`` or more lines with words; what of a passage lies in other chunks stays.
 
 Joins are sort-merge joins at every size, so plans and what they move don't change as tables grow.
-Work moves hashes, not texts: chunks are counted by hash with partial sums, only rows with a repeated chunk
-are looked up again, and only repeated chunks' bytes are sent to be compared.
+Work moves hashes, not texts: chunks and windows are counted by hash with partial sums, only rows with a repeated
+one are looked up again, and only repeated ones' bytes are sent to be compared.
 
-Defined results: null stays null with no lines; a text none of whose chunks repeats comes back as it was; a
-text may become empty; repeated rows keep the chunks of the first of them; an empty table gives none; other
+Defined results: null stays null with no lines; a text in which nothing repeats comes back as it was; a
+text may become empty; repeated rows keep the lines of the first of them; ``n_removed_chunks`` counts the chunks
+removed or, with passages, the runs of lines removed; an empty table gives none; other
 columns come back only if named in ``keep``, inside one struct, so their names never clash.
 """
 
@@ -27,18 +34,23 @@ from webloom.llm import _store, _text
 _U64 = np.uint64
 
 
-def line_chunks(buf: np.ndarray, offs: np.ndarray, every: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(begins, ends, docs, worded, hasher's hashes): chunks as byte ranges, with the line end after their
-    last line, their documents, and their lines with words. About every ``every``-th line ends a chunk."""
+def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, docs, feed): lines as byte ranges, their documents, and whether a line feed ends them."""
     n = len(buf)
     last = np.zeros(n, bool)
     last[buf == 10] = True
     # A line ends after its line feed or with its document; a document without a byte has no line.
     last[offs[1:][np.diff(offs) > 0] - 1] = True
     ends = np.flatnonzero(last) + 1
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
     docs = np.searchsorted(offs, begins, "right") - 1
-    feed = buf[ends - 1] == 10 if len(ends) else np.zeros(0, bool)
+    return begins, ends, docs, buf[ends - 1] == 10 if len(ends) else np.zeros(0, bool)
+
+
+def line_chunks(buf: np.ndarray, offs: np.ndarray, every: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, docs, worded, hasher's hashes): chunks as byte ranges, with the line end after their
+    last line, their documents, and their lines with words. About every ``every``-th line ends a chunk."""
+    begins, ends, docs, feed = _lines(buf, offs)
     hasher = _text.Hasher(buf)
     h = hasher(begins, ends - feed)
     first = np.concatenate([[True], docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, bool)
@@ -55,12 +67,50 @@ def line_chunks(buf: np.ndarray, offs: np.ndarray, every: int = 3) -> tuple[np.n
     return begins[start], ends[stop], docs[start], worded[stop + 1] - worded[start], hashes
 
 
+def line_windows(buf: np.ndarray, offs: np.ndarray, min_lines: int = 2, long_words: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, docs, at, hashes) of the windows of ``min_lines`` lines with words and of the lines of more
+    than ``long_words`` words, in order. ``at`` is twice the first line's number in its document, plus one for
+    a single line."""
+    begins, ends, docs, feed = _lines(buf, offs)
+    inside = _text.NONSPACE[buf]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    # A document may begin right after another's last word.
+    first = offs[:-1][offs[:-1] < len(buf)]
+    starts[first] = inside[first]
+    words = np.concatenate([[0], np.cumsum(starts)])
+    words = words[ends] - words[begins]
+    worded = np.flatnonzero(words)
+    head, tail = worded[: max(0, len(worded) - min_lines + 1)], worded[min_lines - 1 :]
+    one = docs[head] == docs[tail]
+    long = np.flatnonzero(words > long_words)
+    head, tail = np.concatenate([head[one], long]), np.concatenate([tail[one], long])
+    kind = np.repeat([0, 1], [int(one.sum()), len(long)])
+    order = np.argsort(2 * head + kind)
+    head, tail, kind = head[order], tail[order], kind[order]
+    at = 2 * (head - np.searchsorted(docs, docs[head])) + kind
+    # Without the feed after the last line: at a document's end there is none.
+    hashes = _text.Hasher(buf)(begins[head], ends[tail] - feed[tail])
+    return begins[head], ends[tail], docs[head], at, hashes
+
+
 def _body(data: bytes, begin: int, end: int) -> bytes:
     return data[begin : end - 1] if data[end - 1 : end] == b"\n" else data[begin:end]
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), every: int = 3, min_lines: int = 2) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), every: int = 3, min_lines: int = 2, passages: bool = False, long_words: int = 50) -> DataFrame:
     """(row, key, kept, text, n_lines, n_removed_chunks, n_removed_bytes): every row with what is left of its text."""
+
+    def units(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, ends, bounds, at, hashes) of what is looked for; document i's are those from ``bounds[i]`` to ``bounds[i + 1]``."""
+        if passages:
+            begins, ends, docs, at, hashes = line_windows(block.buf, block.offs, min_lines, long_words)
+        else:
+            begins, ends, docs, worded, hashes = line_chunks(block.buf, block.offs, every)
+            at = np.arange(len(docs)) - np.searchsorted(docs, docs)
+            begins, ends, docs, at, hashes = (x[worded >= min_lines] for x in (begins, ends, docs, at, hashes))
+        return begins, ends, np.searchsorted(docs, np.arange(block.n + 1)), at, hashes
+
     path = _store.work_dir(df.sparkSession)
     picked = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), _text.kept(keep), F.col(f"`{text}`").alias("text")
@@ -68,15 +118,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
     kinds = dict(picked.dtypes)
 
     def pack(block: _text.Block) -> dict:
-        begins, ends, docs, worded, hashes = line_chunks(block.buf, block.offs, every)
-        bounds = np.searchsorted(docs, np.arange(block.n + 1))
-        at = np.arange(len(docs)) - bounds[docs]
-        multi = worded >= min_lines
-        counts = np.add.reduceat(np.append(multi, False), np.minimum(bounds[:-1], len(multi))) * (np.diff(bounds) > 0)
-        chunks = pa.StructArray.from_arrays([pa.array(hashes[multi].astype(np.int64)), pa.array((ends - begins)[multi].astype(np.int64)), pa.array(at[multi].astype(np.int32))], ["h", "size", "at"])
-        return {"row": block.columns["row"], "key": block.columns["key"], "kept": block.columns["kept"], "missing": ~block.valid, "z": _store.packed(block), "chunks": _text.ragged_lists(chunks, counts, None)}
-
-    schema = f"row long, key {kinds['key']}, kept {kinds['kept']}, missing boolean, z binary, chunks array<struct<h:long,size:long,at:int>>"
+        _, _, bounds, at, hashes = units(block)
+        chunks = pa.StructArray.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(at.astype(np.int32))], ["h", "at"])
+        return {"row": block.columns["row"], "key": block.columns["key"], "kept": block.columns["kept"], "missing": ~block.valid, "z": _store.packed(block), "chunks": _text.ragged_lists(chunks, np.diff(bounds), None)}
+
+    schema = f"row long, key {kinds['key']}, kept {kinds['kept']}, missing boolean, z binary, chunks array<struct<h:long,at:int>>"
     table = _store.written(_text.map_blocks(picked, {c: c for c in picked.columns}, pack, schema), f"{path}/texts")
     places = table.select("row", F.struct(F.col("key").isNull().alias("no"), "key", "row").alias("rank"), F.explode("chunks").alias("c")).select("row", "rank", "c.h", "c.at")
     firsts = places.groupBy("h").agg(F.min(F.struct("rank", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h", F.col("f.rank.row").alias("f_row"), F.col("f.at").alias("f_at"))
@@ -87,13 +133,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
     def cut(batches):
         for b in batches:
             for block in _text.blocks(_unpack(b), "text"):
-                begins, ends, docs, _, _ = line_chunks(block.buf, block.offs, every)
-                bounds = np.searchsorted(docs, np.arange(block.n + 1))
+                begins, ends, bounds, at, _ = units(block)
                 data = block.buf.tobytes()
                 out = []
                 for d, (row, chunks) in enumerate(zip(block.columns["row"].to_pylist(), block.columns["wanted"].to_pylist(), strict=True)):
                     for c in chunks:
-                        k = bounds[d] + c["at"]
+                        k = bounds[d] + np.searchsorted(at[bounds[d] : bounds[d + 1]], c["at"])
                         out.append((c["h"], row, c["at"], c["is_first"], _body(data, int(begins[k]), int(ends[k]))))
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["h", "row", "at", "is_first", "body"])
 
@@ -106,8 +151,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
     def rewrite(batches):
         for b in batches:
             for block in _text.blocks(_unpack(b), "text"):
-                begins, ends, docs, _, _ = line_chunks(block.buf, block.offs, every)
-                bounds = np.searchsorted(docs, np.arange(block.n + 1))
+                begins, ends, bounds, at, _ = units(block)
                 data = block.buf.tobytes()
                 lines, removed, size, packed = [], [], [], []
                 pack = zstandard.ZstdCompressor(level=3)
@@ -115,15 +159,22 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
                     a, z = int(block.offs[d]), int(block.offs[d + 1])
                     whole = data[a:z]
                     lines.append(whole.count(b"\n") + 1 if whole else 0)
+                    n = len(gone or ())
                     if gone:
-                        drop = set(gone)
-                        stay = [k for k in range(int(bounds[d]), int(bounds[d + 1])) if k - bounds[d] not in drop]
+                        k = bounds[d] + np.searchsorted(at[bounds[d] : bounds[d + 1]], np.sort(gone))
+                        left, n_runs, done = [], 0, a
+                        for begin, end in zip(begins[k].tolist(), ends[k].tolist(), strict=True):
+                            if begin > done or not n_runs:
+                                left.append(data[done:begin])
+                                n_runs += 1
+                            done = max(done, end)
                         # What is left, in order; a line feed before a removed end goes with it.
-                        whole = b"".join(data[begins[k] : ends[k]] for k in stay)
+                        whole = b"".join([*left, data[done:z]])
+                        n = n_runs if passages else n
                         if whole.endswith(b"\n") and not data[a:z].endswith(b"\n"):
                             whole = whole[:-1]
                     packed.append(pack.compress(whole))
-                    removed.append(len(gone or ()))
+                    removed.append(n)
                     size.append(z - a - len(whole))
                 missing = block.columns["missing"]
                 yield pa.RecordBatch.from_arrays(
@@ -145,5 +196,5 @@ def _unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=True)
     return found.select(F.col("key").alias("doc_id"), "n_lines", "n_removed_chunks", "n_removed_bytes", F.sha2("text", 256).alias("kept_sha256"))
