@@ -307,3 +307,18 @@ def test_queries_against_sql(spark, sf):
         cols = sorted(df.columns)
         got = sorted(tuple(text(r[k]) for k in cols) for r in df.collect())
         assert got == sorted(tuple(map(text, r)) for r in c.sql(f"select {', '.join(cols)} from ({portfolio.SQL[name]})").fetchall()), name
+
+
+def test_pipeline_transform_of_all_pages(spark):
+    """Every page has its row, upper-cased beyond ASCII too."""
+    import html
+    import re
+
+    from webloom.plans import portfolio
+
+    d = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").collect()
+    want = [(r["page_id"], html.unescape(re.search('<a href="([^"]*)">', r["html"])[1]).replace("/", "").upper() + "!") for r in pages]
+    got = [(r["page_id"], r["site"]) for r in portfolio.QUERIES["pipeline_transform_all"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 250
+    assert sum(not v.isascii() for _, v in got) > 20

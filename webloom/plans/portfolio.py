@@ -101,12 +101,16 @@ pages_query(
     f"select page_id, case {_LANG} when 'en' then 'English' when 'de' then 'German' else 'other' end as language from pages",
     declarations='transform "language" input="string" output="string" { match { case "en" "English"; case "de" "German"; default "other" } }',
 )
+_CLEAN = 'field "site" type="string" required=#true { select "nav li:first-child a"; value "attr" name="href"; apply "clean" }'
+_CLEAN_TRANSFORM = 'transform "clean" input="string" output="string" { pipeline { apply "replace" old="/" new=""; apply "uppercase"; apply "append" value="!" } }'
+# Only pages whose link is ASCII, as the SQL has it; the next query has all pages and no SQL.
 pages_query(
-    "pipeline_transform", 'field "site" type="string" required=#true { select "nav li:first-child a"; value "attr" name="href"; apply "clean" }',
+    "pipeline_transform", _CLEAN,
     f"select page_id, upper(replace({_TEXT.format(_HREFS + '[1]')}, '/', '')) || '!' as site from pages where not regexp_matches({_HREFS}[1], '[^\\x00-\\x7F]')",
     lambda df: df.where(~F.col("site").rlike("[^\\x00-\\x7F]")),
-    declarations='transform "clean" input="string" output="string" { pipeline { apply "replace" old="/" new=""; apply "uppercase"; apply "append" value="!" } }',
+    declarations=_CLEAN_TRANSFORM,
 )
+pages_query("pipeline_transform_all", _CLEAN, None, declarations=_CLEAN_TRANSFORM)
 _FAILS = f"not regexp_matches({_LANG}, '^(en|de)$')"
 _LANG_FIELD = 'field "lang" type="string{q}"{d} {{ select "html"; value "attr" name="lang"; apply "assert-enum" "en" "de"; on-error "{p}" }}'
 pages_query("recover_null", _LANG_FIELD.format(q="?", d="", p="null"), f"select page_id, case when {_FAILS} then null else {_LANG} end as lang, {_FAILS} as partial from pages", lambda df: df.select("page_id", "value.lang", "partial"), whole=True)
