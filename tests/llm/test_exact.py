@@ -285,6 +285,25 @@ def test_pieces_equal_the_library(spark, odd, odd_rows):
     assert bag([(r["doc_id"], r["text"]) for r in back.collect()]) == bag([(d, t or "") for d, t in rows])
 
 
+def test_pieces_of_zero_characters(spark):
+    """U+0000 is a character of the text: its part has its own ids, and other texts of the batch keep theirs."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = ["alpha beta", "\0", "a\0b", "x \0\0 y\0", "\0lead", "trail\0", " \0 ", "漢\0字\n\0\nbeta", "the\0 of the", "alpha beta", "😀\0"]
+    want = [sp.encode(t) for t in texts]
+    coder = pieces.Encoder(pieces._model(model))
+    # A second batch reads the parts kept from the first.
+    for batch in (texts, texts[::-1]):
+        expected = want if batch is texts else want[::-1]
+        assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode(batch)] == expected
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in pieces.encode_pieces(df).collect()}
+    assert [got[i]["ids"] for i in range(len(texts))] == want and all(r["round_trip"] for r in got.values())
+
+
 def test_token_store(spark, odd, odd_rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

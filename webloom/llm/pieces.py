@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from webloom.llm import _text
 
 _SPACE = "▁"
+#: Between parts: no character and no piece has this code point, so U+0000 in a text is a character like any other.
+_SEPARATOR = 0x110000
 #: Encodings of parts in each of the two generations that a Python worker keeps between batches and tasks.
 MEMO = 150_000
 _START = -2
@@ -181,10 +183,11 @@ class Encoder:
         sizes = np.array([len(p) for p in parts])
         text = np.frombuffer("\0".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
+        text[begins[1:] - 1] = _SEPARATOR
         start, end, piece = self._edges(text)
         whole = np.zeros(len(text), bool)
         whole[start[end - start == 1]] = True
-        other = np.flatnonzero(~whole & (text > 0))
+        other = np.flatnonzero(~whole & (text != _SEPARATOR))
         start, end = np.concatenate([start, other]), np.concatenate([end, other + 1])
         piece = np.concatenate([piece, text[other] + self.model.first_character])
         depth = end - begins[np.searchsorted(begins, start, "right") - 1]
