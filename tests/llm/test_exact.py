@@ -245,6 +245,12 @@ def test_license_spans(spark):
     assert not next(r for r in got if r["doc_id"] == 2)["spans"]
 
 
+def test_license_phrase_of_one_word(spark):
+    df = spark.createDataFrame([(1, "zzz yyy copyleft xxx Copyleft"), (2, "zzz yyy"), (3, "copyleft")], "doc_id long, text string")
+    got = licenses.scan_licenses(df, phrases={"copyleft": "copyleft", "all rights reserved": "reserved"}).collect()
+    assert sorted((r["doc_id"], r["n_base"], r["first_word"], r["last_word"]) for r in got) == [(1, 2, 2, 4), (2, 0, None, None), (3, 1, 0, 0)]
+
+
 def test_automaton_matching_statistics():
     import random
 

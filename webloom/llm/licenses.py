@@ -130,6 +130,8 @@ class Scanner:
             self.automaton.add(i, [ids[w] for w in t])
         self.n_templates, self.min_match, self.coverage, self.gap = len(templates), min_match, coverage, gap
         self.phrase_labels = list(phrases.values())
+        #: Runs of fewer known words hold no phrase.
+        self.least_run = max(1, min([2, *self.sizes[self.n_templates :]]))
         ends_at: dict[int, list[int]] = {}
         for i, t in enumerate(texts[self.n_templates :]):
             ends_at.setdefault(self.automaton.find([ids[w] for w in t]), []).append(i)
@@ -156,7 +158,7 @@ class Scanner:
         after = np.zeros(len(known), bool)
         after[:-1] = known[1:] & ~first[1:]
         stops = np.flatnonzero(known & ~after) + 1
-        long = stops - begins >= 2
+        long = stops - begins >= self.least_run
         return at, begins[long], stops[long], bounds
 
     def scan(self, block: _text.Block) -> list[dict]:
