@@ -14,7 +14,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 from tests_support import documents  # noqa: E402
 
-from webloom.llm import components, decontaminate, licenses, line_dedup, near_dups, pieces, quality_rules, repeats, token_store
+from webloom.llm import _text, components, decontaminate, licenses, line_dedup, near_dups, pieces, quality_rules, repeats, token_store
 
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -341,6 +341,64 @@ def test_damage_is_noticed(spark, tmp_path):
         list(token_store._unpacked(bad))
 
 
+def test_recipes_and_manifest_are_verified(spark, tmp_path):
+    """Recipes swapped within a pack, each sound by itself, and a pack that is gone."""
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(spark.createDataFrame([(i, f"text number {i} " * (i + 1)) for i in range(8)], "doc_id long, text string").repartition(2), path)
+    assert token_store.document_checksums(spark, path).count() == 8 and token_store.verify_manifest(spark, path).count() == 0
+    assert len(token_store.store_root(spark, path)) == 64
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows = [r.asDict() for r in recipes.orderBy("part", "local").collect()]
+    same = [i for i in range(1, 8) if rows[i]["part"] == rows[i - 1]["part"]][0]
+    for c in ("digests", "sizes", "root"):
+        rows[same][c], rows[same - 1][c] = rows[same - 1][c], rows[same][c]
+    n = rows[same]["n"], rows[same - 1]["n"]
+    rows[same - 1]["n"], rows[same]["n"] = n
+    rows[same]["local"] = rows[same - 1]["local"] + n[0]
+    whole = spark.createDataFrame(rows, recipes.schema)
+    whole.write.parquet(f"{path}-b/recipes")
+    gone = spark.createDataFrame([r for r in rows if r["part"] != rows[0]["part"]], recipes.schema)
+    gone.write.parquet(f"{path}-c/recipes")
+    for x in "bc":
+        for t in ("blocks", "manifest"):
+            spark.read.parquet(f"{path}/{t}").write.parquet(f"{path}-{x}/{t}", partitionBy=["kind"] if t == "blocks" else None)
+        assert token_store.verify_manifest(spark, f"{path}-{x}").count()
+        with pytest.raises(Exception, match="CorruptStore"):
+            token_store.document_checksums(spark, f"{path}-{x}").collect()
+
+
+def _block(texts):
+    import pyarrow as pa
+
+    return next(_text.blocks(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text", 1 << 30))
+
+
+def test_parts_against_the_regular_expression():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rule = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\\s+(?!\\S)|\\s+")
+    rng = random.Random(1)
+    bits = ["'", "s", "t", "re", "ll", " ", "  ", "\n", "é", "a", "Z", "1", "!", "\t", "'s", "don't", "\r\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    block = _block(texts)
+    begins, data = token_store.parts_of(block.buf, block.offs).tolist(), block.buf.tobytes()
+    assert [data[a:b].decode() for a, b in zip(begins, [*begins[1:], len(data)], strict=True)] == [p for t in texts for p in rule.findall(t)]
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t, coder = Tokenizer.from_file(path), token_store.Coder(path)
+    texts += ["漢字 it's", "<|endoftext|> x", "a × b", "", "x\x1cy", "é" * 5000]
+    for _ in range(2):
+        rng.shuffle(texts)
+        ids, bounds = coder.encode(_block(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    cuts = token_store.Cuts()
+    marks = cuts.marks(ids, bounds)
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        assert (marks[(marks > a) & (marks <= b)] - a).tolist() == cuts.marks(ids[a:b], np.array([0, b - a])).tolist()
+
+
 # -- lines -------------------------------------------------------------------------------------------------
 
 
