@@ -412,10 +412,10 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
 
 class Combine:
-    """The CRC-32 of joined byte strings from theirs: appending n bytes is a linear map of the 32 bits."""
+    """The CRC-32 of joined byte strings from theirs: appending n bytes is a linear map of the 32 bits. The maps,
+    one for each size of a chunk, are kept for the worker's next packs."""
 
-    def __init__(self):
-        self.tables: dict[int, list[list[int]]] = {}
+    tables: dict[int, list[list[int]]] = {}
 
     def _table(self, n: int) -> list[list[int]]:
         if n not in self.tables:
