@@ -29,6 +29,14 @@ def bag(rows):
     return Counter(map(repr, rows))
 
 
+def thue_morse(k):
+    """Two words of 2^k letters, each other's mirror, whose polynomial hashes modulo 2^64 agree for k of 10 and more."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
 # -- near-duplicates ---------------------------------------------------------------------------------------
 
 
@@ -141,6 +149,39 @@ def test_repeats_shifted_copies(spark):
     assert bag(got) == bag(brute_repeats(rows, 100))
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_repeats_of_long_and_low_texts(spark, odd, odd_rows, most):
+    """Long texts, runs of one byte, words that rolling hashes modulo 2^64 take for equal; frequent phrases by windows."""
+    import random
+
+    rng = random.Random(8)
+    long = [r[1] for r in odd_rows if r[0] == 10][0][:40_000]
+    a, b = thue_morse(11)
+    rows = [(1, long), (2, long[100:900] + "x" * 700 + long[:1000]), (3, a), (4, b), (5, "x" * 90 + "y"), (6, None), (7, a[:1024] + "#" + a[1024:])]
+    common = "".join(rng.choice("abcdef ") for _ in range(70))
+    rows += [(10 + i, "".join(rng.choice("abc") for _ in range(60)) + common + "".join(rng.choice("abc") for _ in range(60))) for i in range(40)]
+    got = [(r["doc_id"], r["n_bytes"], [(s["a"], s["b"]) for s in r["spans"]], r["kept_sha256"]) for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=72, most=most).collect()]
+    assert bag(got) == bag(brute_repeats(rows, 72))
+
+
+def test_suffix_arrays_of_a_block():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    strings = list({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))).encode() for _ in range(60)})
+    ranks, begins = repeats.dictionary_ranks(pa.array(strings, pa.binary()))
+    suffixes = [(s[i:], int(ranks[b + i])) for s, b in zip(strings, begins.tolist(), strict=True) for i in range(len(s))]
+    ordered = sorted({s for s, _ in suffixes})
+    of = dict(suffixes)
+    assert len({(s, r) for s, r in suffixes}) == len(ordered) and [of[s] for s in ordered] == sorted(of.values())
+    values = np.array([rng.randrange(50) for _ in range(300)])
+    a = np.array([rng.randrange(299) for _ in range(200)])
+    b = np.array([rng.randrange(x + 1, 301) for x in a.tolist()])
+    assert repeats.LeastBetween(values)(a, b).tolist() == [min(values[x:y]) for x, y in zip(a, b, strict=True)]
+
+
 def test_repeats_query(spark, sf):
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.op5_repeated_strings(spark, sf).collect()]
     want = [(d, n, sum(b - a for a, b in s), len(s), h) for d, n, s, h in brute_repeats(documents(sf), 400)]
