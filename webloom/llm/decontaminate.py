@@ -1,171 +1,180 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each shard of documents (a block of whole documents) gets a suffix array of its words, ordered by ranks of
-up to 16 words that prefix doubling builds. Every window of every benchmark item is binary-searched in every
-shard; the range found gives all its places. A shard lives in one task's memory and nothing is shuffled: the
-benchmark travels to the documents, not the other way round. It is sent whole only if its checked size is
-below ``max_benchmark_bytes``; a larger one is sent in groups of items of at most that size (by a hash of
-their ids), and the words hit are united per document.
+Each shard of documents (a block of whole documents) gets a suffix array of its words, by prefix doubling. Every suffix
+of every benchmark item that has a window's words is binary-searched in it; the range found gives all places of
+its first words. Places and suffixes that lie on one diagonal, one after another, are one verbatim match, as long as
+it can be: its words in the document, its item and its place there come back. Windows of any length are read off
+the matches, and from them the words that are hit.
+
+Words are compared by their bytes: the benchmark's words are numbered, and a document's are looked up among them; others
+match nothing. A shard lives in one task's memory and nothing is shuffled: the benchmark travels to the documents,
+as its words and their numbers, never more than its text. It is sent whole only if its checked size is below
+``max_benchmark_bytes``; a larger one is sent in groups of items of at most that size (by a hash of their ids), and what
+is found is united per document.
 
 Windows are ``window`` consecutive words of an item; an item with fewer words, but not none, is one window.
-Words are compared by 64-bit hashes.
 
-Defined results: null or empty texts have no words and are never hit; rows of one item id are one item;
-items without id are left out; repeated documents give repeated rows; empty tables give no hits; no other
-columns are read.
+Defined results: null or empty texts have no words and are never hit; a very long text is a shard of its own; rows of one
+item id are one item; items without id are left out; matches at one place come in order of their ends, items and places
+there; repeated documents give repeated rows; empty tables give no hits; no other columns are read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import _store, _text
+from webloom.llm import _store, _suffixes, _text
 
-_REACH = 16
+
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(words, bounds of each document's)."""
+    low = _text.LOWER[buf]
+    starts, ends, bounds = _text.word_spans(low, offs, _text.ALNUM)
+    return _text.word_array(low, starts, ends), bounds
 
 
 @dataclass
-class Windows:
-    """Distinct windows: row k of ``words`` holds the hashes of its words, ``sizes[k]`` of them; the items
-    they stand in are ``items[begins[k]:begins[k + 1]]``, indexes into ``ids``."""
+class Benchmark:
+    """Rows of items as numbers of words, 1 and up, a 0 after each row. ``item``: the index into ``ids`` of each row;
+    ``suffixes``: where the suffixes begin that have a window; ``sizes``: the words of those windows."""
 
+    vocabulary: pa.Array
     words: np.ndarray
-    sizes: np.ndarray
+    row: np.ndarray
     begins: np.ndarray
-    items: np.ndarray
+    item: np.ndarray
     ids: list[str]
+    suffixes: np.ndarray
+    sizes: np.ndarray
 
 
-def windows_of(rows: list[tuple[object, str | None]], window: int) -> Windows:
-    ids = sorted({str(i) for i, _ in rows if i is not None})
+def benchmark_of(rows: list[tuple[object, str | None]], window: int) -> Benchmark:
+    rows = sorted(((str(i), t or "") for i, t in rows if i is not None), key=lambda r: r)
+    ids = sorted({i for i, _ in rows})
     number = {x: k for k, x in enumerate(ids)}
-    found: dict[bytes, set[int]] = {}
-    sizes: dict[bytes, int] = {}
-    for i, text in rows:
-        if i is None or not text:
-            continue
-        buf = _text.LOWER[np.frombuffer(text.encode(), np.uint8)]
-        starts, ends, _ = _text.word_spans(buf, np.array([0, len(buf)]), _text.ALNUM)
-        if not len(starts):
-            continue
-        h = _text.Hasher(buf)(starts, ends)
-        n = min(window, len(h))
-        for a in range(len(h) - n + 1):
-            k = h[a : a + n].tobytes()
-            found.setdefault(k, set()).add(number[str(i)])
-            sizes[k] = n
-    words = np.zeros((len(found), window), np.uint64)
-    for r, k in enumerate(found):
-        words[r, : sizes[k]] = np.frombuffer(k, np.uint64)
-    counts = np.array([len(v) for v in found.values()], np.int64)
-    return Windows(
-        words, np.array(list(sizes.values()), np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.array([x for v in found.values() for x in sorted(v)], np.int64), ids
-    )
+    texts = [t.encode() for _, t in rows]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    words, bounds = _words(np.frombuffer(b"".join(texts), np.uint8), offs)
+    found = words.dictionary_encode()
+    n = np.diff(bounds)
+    out = np.zeros(len(words) + len(rows), np.int32)
+    begins = bounds[:-1] + np.arange(len(rows))
+    out[_text.ragged(begins, n)] = found.indices.to_numpy() + 1
+    size = np.minimum(n, window)
+    count = np.where(n > 0, n - size + 1, 0)
+    row = np.repeat(np.arange(len(rows)), count)
+    return Benchmark(found.dictionary, out, row, begins, np.array([number[i] for i, _ in rows], np.int64), ids, _text.ragged(begins, count), size[row])
 
 
 class Shard:
-    """The suffix array of the words of a block. ``ranks`` are words by rank, with 0 between documents."""
-
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
-        n_docs = len(bounds) - 1
-        self.vocabulary, inverse = np.unique(hashes, return_inverse=True)
-        doc = np.repeat(np.arange(n_docs), np.diff(bounds))
-        #: Of each word, its place among words and separators.
-        self.places = np.arange(len(hashes)) + doc
-        n = len(hashes) + n_docs
-        self.ranks = np.zeros(n + _REACH, np.int64)
-        self.ranks[self.places] = inverse + 1
-        order = self.ranks[:n]
-        reach = 1
-        while reach < _REACH:
-            later = np.zeros(n, np.int64)
-            later[: max(0, n - reach)] = order[reach:]
-            key = order * (int(order.max(initial=0)) + 1) + later
-            suffixes = np.argsort(key, kind="stable") if n < 2 else np.argsort(key)
-            ordered = key[suffixes]
-            order = np.empty(n, np.int64)
-            order[suffixes] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if n else ordered
-            reach *= 2
-        self.suffixes = np.argsort(order, kind="stable") if n else np.zeros(0, np.int64)
-
-    def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, from, to): the ranges of the suffix array that begin with a window; others have none."""
-        at = np.minimum(np.searchsorted(self.vocabulary, windows.words), len(self.vocabulary) - 1)
-        used = np.arange(windows.words.shape[1]) < windows.sizes[:, None]
-        there = np.flatnonzero(((self.vocabulary[at] == windows.words) | ~used).all(axis=1))
-        sought = np.where(used[there], at[there] + 1, 0)
-        used = used[there]
-        low = self._bound(sought, used, False)
-        high = self._bound(sought, used, True)
+    """The suffix array of the words of a block, 0 for words that no item has and between documents."""
+
+    def __init__(self, words: np.ndarray, window: int):
+        self.words = np.concatenate([words, np.zeros(window, np.int32)])
+        n = len(words)
+        inside = words > 0
+        #: Words up to the next 0.
+        end = np.where(inside, n, np.arange(n))
+        left = np.minimum.accumulate(end[::-1])[::-1] - np.arange(n) if n else end
+        ranks = _suffixes.suffix_ranks(words.astype(np.int64), left, 1, window)
+        places = np.flatnonzero(inside)
+        self.suffixes = places[np.argsort(ranks[places], kind="stable")]
+        self.present = np.zeros(int(words.max(initial=0)) + 1, bool)
+        self.present[words] = True
+
+    def search(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix, from, to): the ranges of the suffix array that begin with a window of the benchmark."""
+        there = np.zeros(int(bench.words.max(initial=0)) + 1, bool)
+        there[: len(self.present)] = self.present
+        there[0] = False
+        seen = np.concatenate([[0], np.cumsum(there[bench.words])])
+        sought = np.flatnonzero(seen[bench.suffixes + bench.sizes] - seen[bench.suffixes] == bench.sizes)
+        begins, sizes = bench.suffixes[sought], bench.sizes[sought]
+        low = self._bound(bench.words, begins, sizes, False)
+        high = self._bound(bench.words, begins, sizes, True)
         some = high > low
-        return there[some], low[some], high[some]
-
-    def _bound(self, sought: np.ndarray, used: np.ndarray, after: bool) -> np.ndarray:
-        low = np.zeros(len(sought), np.int64)
-        high = np.full(len(sought), len(self.suffixes), np.int64)
-        span = np.arange(sought.shape[1])
-        while len(sought) and (low < high).any():
-            mid = (low + high) >> 1
-            here = self.ranks[self.suffixes[np.minimum(mid, len(self.suffixes) - 1)][:, None] + span]
-            differs = (here != sought) & used
-            first = differs.argmax(axis=1)
-            row = np.arange(len(sought))
-            unequal = differs[row, first]
-            below = np.where(unequal, here[row, first] < sought[row, first], after)
-            open_ = low < high
-            low = np.where(open_ & below, mid + 1, low)
-            high = np.where(open_ & ~below, mid, high)
+        return sought[some], low[some], high[some]
+
+    def _bound(self, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray, after: bool) -> np.ndarray:
+        low, high = np.zeros(len(begins), np.int64), np.full(len(begins), len(self.suffixes), np.int64)
+        most = int(sizes.max(initial=0))
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) >> 1
+            here = self.suffixes[mid]
+            below = np.full(len(open_), after)
+            # Words are compared until they differ, for those that haven't yet.
+            same = np.arange(len(open_))
+            for k in range(most):
+                same = same[sizes[open_[same]] > k]
+                if not len(same):
+                    break
+                x, y = self.words[here[same] + k], words[begins[open_[same]] + k]
+                differs = x != y
+                below[same[differs]] = x[differs] < y[differs]
+                same = same[~differs]
+            low[open_[below]] = mid[below] + 1
+            high[open_[~below]] = mid[~below]
         return low
 
 
-def _matches(block: _text.Block, windows: Windows) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[int]]]:
-    """Words of each document, its runs of hit words [from, to), and its items."""
-    low = _text.LOWER[block.buf]
-    starts, ends, bounds = _text.word_spans(low, block.offs, _text.ALNUM)
-    n_words = np.diff(bounds)
-    runs: list[list[tuple[int, int]]] = [[] for _ in range(block.n)]
-    items: list[list[int]] = [[] for _ in range(block.n)]
-    if not len(starts) or not len(windows.sizes):
-        return n_words, runs, items
-    shard = Shard(_text.Hasher(low)(starts, ends), bounds)
-    which, a, b = shard.search(windows)
-    if not len(which):
-        return n_words, runs, items
-    counts = b - a
-    places = shard.suffixes[_text.ragged(a, counts)]
+def matches(block: _text.Block, bench: Benchmark, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each document; and of each match the document, first word, word after the last, row of the benchmark, word there),
+    ordered by these. Matches have a window at least and can't be made longer."""
+    words, bounds = _words(block.buf, block.offs)
+    none = np.zeros(0, np.int64)
+    if not len(words) or not len(bench.suffixes):
+        return np.diff(bounds), none, none, none, none, none
+    numbers = pc.index_in(words, value_set=bench.vocabulary).fill_null(-1).to_numpy() + 1
+    doc = np.repeat(np.arange(block.n), np.diff(bounds))
+    placed = np.zeros(len(words) + block.n, np.int32)
+    placed[np.arange(len(words)) + doc] = numbers
+    shard = Shard(placed, window)
+    which, low, high = shard.search(bench)
+    counts = high - low
+    place = shard.suffixes[_text.ragged(low, counts)]
     which = np.repeat(which, counts)
-    word = np.searchsorted(shard.places, places)
-    change = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(change, word, 1)
-    np.add.at(change, word + windows.sizes[which], -1)
-    hit = np.zeros(len(starts) + 2, np.int8)
-    hit[1:-1] = np.cumsum(change[:-1]) > 0
-    first = np.zeros(len(starts) + 2, bool)
-    first[bounds[:-1] + 1] = True
-    begin = np.flatnonzero((hit == 1) & ((np.roll(hit, 1) == 0) | first)) - 1
-    until = np.flatnonzero((hit == 1) & ((np.roll(hit, -1) == 0) | np.roll(first, -1)))
-    docs = np.searchsorted(bounds, begin, "right") - 1
-    for d, x, y in zip(docs.tolist(), (begin - bounds[docs]).tolist(), (until - bounds[docs]).tolist(), strict=True):
-        runs[d].append((x, y))
-    per = windows.begins[which + 1] - windows.begins[which]
-    of_doc = np.repeat(np.searchsorted(bounds, word, "right") - 1, per)
-    pairs = np.unique(of_doc * len(windows.ids) + windows.items[_text.ragged(windows.begins[which], per)])
-    for p in pairs.tolist():
-        items[p // len(windows.ids)].append(p % len(windows.ids))
-    return n_words, runs, items
+    at = bench.suffixes[which]
+    # Neighbours on a diagonal, in one row and one document (a 0 lies between others), are one match.
+    order = np.lexsort((place, place - at))
+    place, at, which = place[order], at[order], which[order]
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1)])) if len(place) else none
+    last = np.append(new[1:], len(place)) - 1
+    first, row = place[new], bench.row[which[new]]
+    size = last - new + bench.sizes[which[new]] if len(new) else none
+    of = np.searchsorted(bounds[1:] + np.arange(1, block.n + 1), first, "right")
+    begin = first - (bounds[of] + of)
+    there = at[new] - bench.begins[row]
+    order = np.lexsort((there, row, begin + size, begin, of))
+    return np.diff(bounds), of[order], begin[order], (begin + size)[order], row[order], there[order]
+
+
+def _united_runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs without overlaps or contact, from runs in order of document and beginning."""
+    if not len(doc):
+        return doc, begin, end
+    width = int(end.max()) + 2
+    reach = np.maximum.accumulate(doc * width + end)
+    new = np.flatnonzero(np.concatenate([[True], doc[1:] * width + begin[1:] > reach[:-1]]))
+    until = reach[np.append(new[1:], len(doc)) - 1] - doc[new] * width
+    return doc[new], begin[new], until
+
+
+def _lists(of: np.ndarray, n: int, **columns) -> pa.Array:
+    return _text.ragged_lists(pa.StructArray.from_arrays(list(columns.values()), list(columns)), np.bincount(of, minlength=n), None)
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = 13, max_benchmark_bytes: int = 32 << 20, keep: tuple[str, ...] = ()
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text", window: int = 13, max_benchmark_bytes: int = 8 << 20, shard_bytes: int = 8 << 20, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(key, n_words, n_hit, runs, items, kept): for each document the runs of words inside a benchmark window
-    [first, after the last) and the ids, as strings, of the items with a window in it."""
+    """(key, n_words, n_hit, longest, runs, items, matches, kept): for each document the runs of words inside a benchmark window
+    [first, after the last), the ids, as strings, of the items with a window in it, the words of the longest verbatim match, and
+    all matches that can't be made longer: their words [a, b), the item and the word ``at`` there, in its row."""
     spark = docs.sparkSession
     picked = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null")
     size = picked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -173,36 +182,42 @@ def benchmark_matches(
     kind = dict(docs.dtypes)[key]
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), _text.kept(keep))
     columns = {"key": "key", "text": "text", "kept": "kept"}
-    schema = f"key {kind}, kept {dict(docs.dtypes)['kept']}, n_words long, runs array<struct<a:long,b:long>>, items array<string>"
+    schema = f"key {kind}, kept {dict(docs.dtypes)['kept']}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, matches array<struct<a:long,b:long,item:string,at:long>>"
     if groups > 1:
         docs = _store.written(docs.select(F.monotonically_increasing_id().alias("row"), "*"), _store.work_dir(spark))
         columns, schema = {"row": "row", **columns}, "row long, " + schema
     parts = []
     for g in range(groups):
         part = picked if groups == 1 else picked.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
-        windows = spark.sparkContext.broadcast(windows_of([tuple(r) for r in part.collect()], window))
-
-        def work(block: _text.Block, windows=windows) -> dict:
-            w = windows.value
-            n_words, runs, items = _matches(block, w)
+        sent = spark.sparkContext.broadcast(benchmark_of([tuple(r) for r in part.collect()], window))
+
+        def work(block: _text.Block, sent=sent) -> dict:
+            bench = sent.value
+            n_words, doc, begin, end, row, at = matches(block, bench, window)
+            ids = pa.array(bench.ids, pa.string())
+            names = ids.take(pa.array(bench.item[row]))
+            run_doc, run_a, run_b = _united_runs(doc, begin, end)
+            pairs = np.unique(doc * max(1, len(bench.ids)) + bench.item[row])
+            pair_doc, pair_item = np.divmod(pairs, max(1, len(bench.ids)))
             return {
                 **{k: v for k, v in block.columns.items() if k != "text"},
                 "n_words": n_words,
-                "runs": _text.ragged_lists(
-                    pa.StructArray.from_arrays([pa.array([x[k] for r in runs for x in r], pa.int64()) for k in (0, 1)], ["a", "b"]), np.array([len(r) for r in runs]), None
-                ),
-                "items": [[w.ids[k] for k in x] for x in items],
+                "runs": _lists(run_doc, block.n, a=pa.array(run_a), b=pa.array(run_b)),
+                "items": _text.ragged_lists(ids.take(pa.array(pair_item)), np.bincount(pair_doc, minlength=block.n), None),
+                "matches": _lists(doc, block.n, a=pa.array(begin), b=pa.array(end), item=names, at=pa.array(at)),
             }
 
-        parts.append(_text.map_blocks(docs, columns, work, schema))
+        parts.append(_text.map_blocks(docs, columns, work, schema, shard_bytes))
     out = parts[0]
     if groups > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("row").agg(F.first("key").alias("key"), F.first("kept").alias("kept"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        out = out.withColumn("runs", _united("runs"))
+        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        out = out.groupBy("row").agg(F.first("key").alias("key"), F.first("kept").alias("kept"), F.max("n_words").alias("n_words"), flat("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), flat("matches"))
+        out = out.withColumn("runs", _united("runs")).withColumn("matches", F.array_sort("matches"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["b"] - r["a"])
-    return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), "runs", F.array_sort("items").alias("items"), "kept")
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["b"] - m["a"])), F.lit(0).cast("long"))
+    return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), longest.alias("longest"), "runs", F.array_sort("items").alias("items"), "matches", "kept")
 
 
 def _united(runs: str):
