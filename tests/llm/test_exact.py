@@ -220,6 +220,63 @@ def test_benchmark_matches(spark, odd, odd_rows, most):
     assert bag(got) == bag(brute_hits([r[:2] for r in odd_rows], [i for i in items if i[0] is not None], 13))
 
 
+def brute_matches(rows, items, window):
+    """All verbatim matches of a window or more (of a whole shorter item) that can't be made longer."""
+    out = []
+    for d, t in rows:
+        w, got = ALNUM.findall(low(t)), set()
+        for i, text in items:
+            b = ALNUM.findall(low(text))
+            n = min(window, len(b))
+            for x in range(len(w)):
+                for y in range(len(b)):
+                    if w[x] == b[y] and not (x and y and w[x - 1] == b[y - 1]):
+                        k = 0
+                        while x + k < len(w) and y + k < len(b) and w[x + k] == b[y + k]:
+                            k += 1
+                        if k >= n:
+                            got.add((x, x + k, str(i), y))
+        out.append((d, sorted(got)))
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 3, 13, 17, 24])
+def test_benchmark_windows_and_longest_matches(spark, window):
+    import random
+
+    rng = random.Random(window)
+    items = [(i, " ".join(rng.choice("abcd") + rng.choice("xy") for _ in range(rng.choice([2, 9, 30, 45])))) for i in range(6)]
+    rows = [(1, None), (2, "")]
+    for d in range(3, 20):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            parts += w[a : a + rng.randrange(1, 40)] + [rng.choice(["ax", "q", "by"])]
+        rows.append((d, " ".join(parts)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for most in (8 << 20, 100):
+        got = decontaminate.benchmark_matches(docs, bench, window=window, max_benchmark_bytes=most).collect()
+        assert bag([(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got]) == bag(brute_hits(rows, items, window))
+        assert bag([(r["doc_id"], sorted(map(tuple, r["matches"]))) for r in got]) == bag(brute_matches(rows, items, window))
+        assert all(r["longest"] == max((m["b"] - m["a"] for m in r["matches"]), default=0) for r in got)
+
+
+def test_words_that_rolling_hashes_confuse(spark):
+    """Two words whose polynomial hashes modulo 2^64 agree are different words to every operator."""
+    a, b = thue_morse(10)
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r["key"]: r["component"] for r in near_dups.near_duplicates(df).collect()} == {1: 1, 2: 2}
+    got = decontaminate.benchmark_matches(df, spark.createDataFrame([(1, a)], "item_id long, text string"))
+    assert {r["doc_id"]: r["n_hit"] for r in got.collect()} == {1: 1, 2: 0}
+    got = licenses.scan_licenses(df, phrases={a: "it"})
+    assert {r["doc_id"]: r["n_base"] for r in got.collect()} == {1: 1, 2: 0}
+    got = repeats.repeated_spans(df, length=512)
+    assert {(r["doc_id"], r["n_bytes"], len(r["spans"])) for r in got.collect()} == {(d, n, len(s)) for d, n, s, _ in brute_repeats([(1, a), (2, b)], 512)}
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, f"{a}\n{a}"), (2, f"{b}\n{b}")], "doc_id long, text string"), passages=True)
+    assert all(not r["n_removed_bytes"] for r in got.collect())
+
+
 # -- quality rules -----------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240607))
 #: A random 64-bit value for each byte; fixed by the seed, so hashes agree between tasks and runs.
 BYTE_VALUES = _rng.integers(0, 1 << 64, 256, dtype=_U64)
-#: The same for a second, independent lane.
-BYTE_VALUES_2 = _rng.integers(0, 1 << 64, 256, dtype=_U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -151,7 +150,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any substrings of a byte array in constant time each, from one running sum."""
+    """Hashes of any substrings of a byte array in constant time each, from one running sum. A polynomial modulo
+    2^64: texts can be made whose hashes agree, so who relies on equality compares bytes or takes ``word_hashes``."""
 
     def __init__(self, buf: np.ndarray, values: np.ndarray = BYTE_VALUES):
         n = len(buf)
@@ -189,6 +189,23 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """The words at these places, in order."""
+    sizes = ends - starts
+    data = buf[ragged(starts, sizes)]
+    offs = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offs[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(data)])
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b for each word; distinct words, told apart by their bytes, are hashed once."""
+    found = word_array(buf, starts, ends).dictionary_encode()
+    make = hashlib.blake2b
+    digests = b"".join([make(w, digest_size=8).digest() for w in found.dictionary.to_numpy(zero_copy_only=False)])
+    return np.frombuffer(digests, "<u8")[found.indices.to_numpy()]
+
+
 def code_points(buf: np.ndarray) -> np.ndarray:
     """Whether each byte begins a character."""
     return (buf & 0xC0) != 0x80

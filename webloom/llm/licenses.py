@@ -6,11 +6,13 @@ statistics). Matches that can't be extended and are long enough are chained, in
 into spans; the share of a template that a chain covers decides on its label. Phrases are read off the
 automaton's states, so all their places are found whatever the length of the match they stand in.
 
-Words are mapped to token ids by hash first; words of no template reset the automaton, so only runs of two
-template words or more are streamed. Work is linear in the text, and a document's matches are all it keeps.
+Words are mapped to token ids by their bytes first; words of no template reset the automaton, so only runs of
+template words, as long as the shortest phrase, are streamed. Work is linear in the text, and a document's matches are
+all it keeps.
 
-Defined results: null or empty text has no words, no labels and score 0; repeated rows give repeated
-results; an empty table gives none; a null key stays null; no other column is read.
+Defined results: null or empty text has no words, no labels and score 0; a very long text is scanned whole; of
+overlapping phrases every place counts, and of chains of equal share the label first in order comes first; repeated
+rows give repeated results; an empty table gives none; a null key stays null; no other column is read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import _text
@@ -120,11 +124,7 @@ class Scanner:
         texts = [words_of(t) for _, t in templates] + [words_of(p) for p in phrases]
         self.sizes = [len(t) for t in texts]
         words = sorted({w for t in texts for w in t})
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words])
-        hashes = _text.Hasher(flat)(ends - [len(w) for w in words], ends)
-        order = np.argsort(hashes)
-        self.hashes, ids = hashes[order], {words[k]: i for i, k in enumerate(order)}
+        self.words, ids = pa.array(words, pa.binary()), {w: i for i, w in enumerate(words)}
         self.automaton = Automaton()
         for i, t in enumerate(texts):
             self.automaton.add(i, [ids[w] for w in t])
@@ -147,9 +147,9 @@ class Scanner:
     def _runs(self, block: _text.Block):
         low = _text.LOWER[block.buf]
         starts, ends, bounds = _text.word_spans(low, block.offs, _text.ALNUM)
-        hashes = _text.Hasher(low)(starts, ends)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = self.hashes[at] == hashes
+        at = pc.index_in(_text.word_array(low, starts, ends), value_set=self.words)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
         before = np.zeros(len(known), bool)
         before[1:] = known[:-1]
         first = np.zeros(len(known), bool)

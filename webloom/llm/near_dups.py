@@ -1,6 +1,6 @@
 """Near-duplicates by SetSketch registers, bands of them, joint estimates by likelihood, and exact checks.
 
-1. Each text becomes the set of its word shingles' 64-bit hashes. The sketch keeps, for each of ``m`` random
+1. Each text becomes the set of its word shingles' 64-bit hashes, sums over BLAKE2b hashes of the words. The sketch keeps, for each of ``m`` random
    orders of all shingles, the smallest value in the set on an exponential scale, truncated to 16 bits:
    registers of a union are the larger of both (``merged``), and registers agree about as often as sets do.
 2. Texts with the same set are one class from here on.
@@ -45,7 +45,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, table: np.ndarray =
     """(hashes, bounds): each document's distinct shingles of k words, ASCII letters in lower case."""
     low = _text.LOWER[buf]
     starts, ends, bounds = _text.word_spans(low, offs, table)
-    words = _text.Hasher(low)(starts, ends)
+    words = _text.word_hashes(low, starts, ends)
     n = np.diff(bounds)
     full = np.maximum(n - k + 1, 0)
     first = _text.ragged(bounds[:-1], full)

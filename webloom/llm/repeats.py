@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import _store, _text
+from webloom.llm import _store, _suffixes, _text
 
 _U64 = np.uint64
 _GRAM = 8
@@ -139,23 +139,6 @@ def _gathered(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Arra
 # -- suffix arrays of a block ------------------------------------------------------------------------------
 
 
-def suffix_ranks(ranks: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of strings by prefix doubling; equal suffixes have equal ranks. ``ranks``: those by the first
-    ``depth`` symbols, 0 at a string's end; ``left``: symbols up to that end."""
-    most = int(left.max(initial=0))
-    distinct = 0
-    while depth < most:
-        later = np.zeros_like(ranks)
-        inner = np.flatnonzero(left > depth)
-        later[inner] = ranks[inner + depth]
-        values, ranks = np.unique(ranks * (int(ranks.max()) + 1) + later, return_inverse=True)
-        if len(values) == distinct:
-            break
-        distinct = len(values)
-        depth *= 2
-    return ranks
-
-
 def _left(sizes: np.ndarray) -> np.ndarray:
     """Symbols up to the end, for strings of these sizes laid one after another with an end each."""
     return np.repeat(np.cumsum(sizes + 1), sizes + 1) - 1 - np.arange(int(sizes.sum()) + len(sizes))
@@ -173,7 +156,7 @@ def dictionary_ranks(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for j in range(7):
         key <<= 9
         key |= np.where(left > j, symbols[j : j + len(left)], 0)
-    return suffix_ranks(np.unique(key, return_inverse=True)[1], left, 7), begins
+    return _suffixes.suffix_ranks(np.unique(key, return_inverse=True)[1], left, 7), begins
 
 
 def common_prefixes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
