@@ -164,6 +164,12 @@ def test_repeats_of_long_and_low_texts(spark, odd, odd_rows, most):
     assert bag(got) == bag(brute_repeats(rows, 72))
 
 
+def test_repeats_where_a_pack_has_none(spark):
+    rows = [(i, f"{i} own text of document {i * 7919} " * 1 + "x" * (i % 3)) for i in range(6)] + [(10, "".join(chr(97 + i * i % 26) + str(i) for i in range(200)))]
+    got = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length=40).collect()
+    assert bag([(r["doc_id"], r["n_bytes"], [(s["a"], s["b"]) for s in r["spans"]], r["kept_sha256"]) for r in got]) == bag(brute_repeats(rows, 40))
+
+
 def test_suffix_arrays_of_a_block():
     import random
 

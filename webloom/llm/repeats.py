@@ -55,38 +55,39 @@ _PLACE_BITS = _U64(32)
 _AT_ONCE = 16 << 20
 
 
+def triggers(buf: np.ndarray, offs: np.ndarray, length: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, first windows): the triggers of texts in order, and the first window that has each."""
+    sizes = np.diff(offs)
+    starts = _text.ragged(offs[:-1], np.where(sizes >= length, sizes - _GRAM - span + 2, 0))
+    if not len(starts):
+        return starts, starts
+    grams = len(buf) - _GRAM + 1
+    rolled = np.lib.stride_tricks.as_strided(np.ascontiguousarray(buf).view(np.uint8), (grams, _GRAM), (1, 1)).copy().view("<u8").ravel()
+    padded = np.full(-(-(grams + span) // span) * span, ~_U64(0))
+    padded[:grams] = (_text.mix(rolled) >> _PLACE_BITS << _PLACE_BITS) | np.arange(grams, dtype=_U64)
+    table = padded.reshape(-1, span)
+    ahead = np.minimum.accumulate(table, axis=1).ravel()
+    back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = (np.minimum(back[starts], ahead[starts + span - 1]) & ((_U64(1) << _PLACE_BITS) - _U64(1))).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    return at[first], starts[first]
+
+
 class Parse:
     """The triggers of texts, in order: ``at``, the windows from ``low`` to ``high`` that have it (none if ``high`` is
     less), where its phrase ends and how far the bytes reach that settle it (-1 for a document's last trigger, which
     has none)."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, span: int):
-        self.length, self.offs = length, offs
-        sizes = np.diff(offs)
-        places = np.where(sizes >= length, sizes - _GRAM - span + 2, 0)
-        starts = _text.ragged(offs[:-1], places)
-        if not len(starts):
-            self.at = self.low = self.high = self.end = self.reach = self.doc = starts
-            return
-        n = len(buf)
-        grams = n - _GRAM + 1
-        rolled = np.lib.stride_tricks.as_strided(np.ascontiguousarray(buf).view(np.uint8), (grams, _GRAM), (1, 1)).copy().view("<u8").ravel()
-        packed = (_text.mix(rolled) >> _PLACE_BITS << _PLACE_BITS) | np.arange(grams, dtype=_U64)
-        padded = np.full(-(-(grams + span) // span) * span, ~_U64(0))
-        padded[:grams] = packed
-        table = padded.reshape(-1, span)
-        ahead = np.minimum.accumulate(table, axis=1).ravel()
-        back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-        at = (np.minimum(back[starts], ahead[starts + span - 1]) & ((_U64(1) << _PLACE_BITS) - _U64(1))).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-        self.at, self.low = at[first], starts[first]
-        self.doc = np.searchsorted(offs, self.low, "right") - 1
-        self.high = np.minimum(starts[np.concatenate([first[1:], [len(starts)]]) - 1], offs[self.doc + 1] - length)
-        self.end = np.full(len(first), -1, np.int64)
+    def __init__(self, at: np.ndarray, low: np.ndarray, offs: np.ndarray, length: int, span: int):
+        self.at, self.low, self.length, self.offs = at, low, length, offs
+        self.doc = np.searchsorted(offs, low, "right") - 1
         follows = self.doc[1:] == self.doc[:-1]
-        self.end[:-1][follows] = self.at[1:][follows] + _GRAM
-        self.reach = np.full(len(first), -1, np.int64)
-        self.reach[:-1][follows] = self.low[1:][follows] + span + _GRAM - 1
+        self.high = offs[self.doc + 1] - length
+        self.end = np.full(len(at), -1, np.int64)
+        self.reach = np.full(len(at), -1, np.int64)
+        self.high[:-1][follows] = np.minimum(self.high[:-1], low[1:] - 1)[follows]
+        self.end[:-1][follows] = at[1:][follows] + _GRAM
+        self.reach[:-1][follows] = low[1:][follows] + span + _GRAM - 1
 
     def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(triggers, last window of each): those with windows that settle repeated phrases only."""
@@ -192,7 +193,7 @@ class LeastBetween:
 
 def repeated_windows(buf: np.ndarray, offs: np.ndarray, length: int, span: int) -> np.ndarray:
     """Whether each window of each of these distinct contexts, one after another, stands in another of them."""
-    p = Parse(buf, offs, length, span)
+    p = Parse(*triggers(buf, offs, length, span), offs, length, span)
     n = len(offs) - 1
     first = np.searchsorted(p.doc, np.arange(n))
     trigger = p.at[first]
@@ -314,7 +315,7 @@ class _Pack:
         self.buf = np.frombuffer(self.text, np.uint8)
         self.offs = np.frombuffer(row["offs"], np.int64)
         self.length, self.got = length, row.get("got") or []
-        self.parse = p = Parse(self.buf, self.offs, length, span)
+        self.parse = p = Parse(*(np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("at", "low")), self.offs, length, span)
         if not len(p.at):
             return
         self.whole = np.flatnonzero(p.end >= 0)
@@ -346,7 +347,8 @@ class _Pack:
 
     def ask(self, question: int, pack: int, n_blocks: int):
         strings = {PHRASES: self.phrases, CONTEXTS: getattr(self, "contexts", None), WINDOWS: getattr(self, "windows", None)}[question]
-        if not len(strings.first):
+        # A pack without a repeated phrase was told nothing: it has no contexts.
+        if strings is None or not len(strings.first):
             return
         value = strings.digests(np.arange(len(strings.first)))
         key = value[:, 0]
@@ -358,6 +360,8 @@ class _Pack:
 
     def show(self, pack: int, n_blocks: int):
         """The bytes of contexts to be compared."""
+        if not hasattr(self, "contexts"):
+            return
         own = np.flatnonzero(self.answers(CONTEXTS, len(self.contexts.first)) >= SHOWN)
         if not len(own):
             return
@@ -372,12 +376,12 @@ class _Pack:
 
     def removed(self) -> np.ndarray:
         """Whether each byte is covered."""
-        change = np.zeros(len(self.text) + 1, np.int32)
+        change = np.zeros(len(self.text) + 1, np.int64)
         if hasattr(self, "contexts"):
             told = self.answers(CONTEXTS, len(self.contexts.first))[self.contexts.number]
             full = (told == FULL) | (told == SHOWN)
-            np.add.at(change, self.low[full], 1)
-            np.add.at(change, self.last[full] + self.length, -1)
+            n = len(change)
+            change += np.bincount(self.low[full], minlength=n) - np.bincount(self.last[full] + self.length, minlength=n)
             hits = [self.starts[self.answers(WINDOWS, len(self.windows.first))[self.windows.number] > 0]]
             # A context that stands alone has one place; the bits say which of its windows repeat.
             sizes = (self.last - self.low + 1)[self.contexts.first]
@@ -387,8 +391,7 @@ class _Pack:
                     again = np.unpackbits(np.frombuffer(g["answer"], np.uint8), count=int(sizes[number].sum())).astype(bool)
                     hits.append(_text.ragged(self.low[self.contexts.first[number]], sizes[number])[again])
             hits = np.concatenate(hits)
-            np.add.at(change, hits, 1)
-            np.add.at(change, hits + self.length, -1)
+            change += np.bincount(hits, minlength=n) - np.bincount(hits + self.length, minlength=n)
         return np.cumsum(change[:-1]) > 0
 
 
@@ -406,11 +409,14 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", *, le
 
     def pack(block: _text.Block) -> dict:
         counters.append(1)
+        if len(block.buf) >= 1 << int(_PLACE_BITS):
+            raise ValueError("a text has 2^32 bytes or more")
         z = zstandard.ZstdCompressor(level=3).compress(block.buf.tobytes())
+        at, low = (x.astype("<u4").tobytes() for x in triggers(block.buf, block.offs, length, span))
         number = (TaskContext.get().partitionId() << 33) + len(counters)
-        return {"pack": [number], "z": [z], "offs": [block.offs.tobytes()], "size": [len(block.buf)], "keys": _text.ragged_lists(block.columns["key"], np.array([block.n]), None)}
+        return {"pack": [number], "z": [z], "offs": [block.offs.tobytes()], "at": [at], "low": [low], "size": [len(block.buf)], "keys": _text.ragged_lists(block.columns["key"], np.array([block.n]), None)}
 
-    packs = _store.written(_text.map_blocks(df, {"key": key, "text": text}, pack, f"pack long, z binary, offs binary, size long, keys array<{kind}>"), f"{path}/packs")
+    packs = _store.written(_text.map_blocks(df, {"key": key, "text": text}, pack, f"pack long, z binary, offs binary, at binary, low binary, size long, keys array<{kind}>"), f"{path}/packs")
     total = packs.agg(F.sum("size")).first()[0] or 0
     packs = packs.drop("size")
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -447,10 +453,13 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", *, le
             for i, row in enumerate(b.to_pylist()):
                 p = _Pack(row, length, span)
                 gone = p.removed()
+                any_gone = np.concatenate([[0], np.cumsum(gone)])
                 spans, shas = [], []
                 for a, z in zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:z], [False]]).astype(np.int8)))
-                    runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+                    runs = []
+                    if any_gone[z] > any_gone[a]:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:z], [False]]).astype(np.int8)))
+                        runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
                     spans.append(runs)
                     sha, at = hashlib.sha256(), a
                     for x, y in runs:
