@@ -126,6 +126,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
     table = _store.written(_text.map_blocks(picked, {c: c for c in picked.columns}, pack, schema), f"{path}/texts")
     places = table.select("row", F.struct(F.col("key").isNull().alias("no"), "key", "row").alias("rank"), F.explode("chunks").alias("c")).select("row", "rank", "c.h", "c.at")
     firsts = places.groupBy("h").agg(F.min(F.struct("rank", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h", F.col("f.rank.row").alias("f_row"), F.col("f.at").alias("f_at"))
+    # Written before the join, so that a frequent passage is split by it, not met by the aggregate's tasks.
+    firsts = _store.written(firsts, f"{path}/firsts")
     repeats = places.select("h", "row", "at").join(firsts.hint("merge"), "h").select("h", "row", "at", ((F.col("row") == F.col("f_row")) & (F.col("at") == F.col("f_at"))).alias("is_first"))
     repeats = _store.written(repeats, f"{path}/repeats")
     wanted = repeats.groupBy("row").agg(F.collect_list(F.struct("at", "h", "is_first")).alias("wanted"))

@@ -7,19 +7,21 @@
 3. ``rows`` registers make a band. Classes that share a band meet at that band's smallest class, their
    centre. Two classes that share any band share its centre, so the members of each centre are all that
    must be compared; a class has few centres however large the group of copies is.
-4. The members of a centre are dealt to blocks of bounded number and bytes, and every two blocks meet in one
-   task. There the similarity is estimated from both classes' registers by likelihood, with their set sizes
-   known; pairs far below the threshold are left. For the others the full sets are intersected, all at once,
-   as products of 0/1 matrices. Only a spanning forest of the links found is returned, never the pairs.
+4. The members of a centre are dealt to blocks of bounded number and bytes of text, and every block meets the centre, which
+   stands for the group. There the similarity is estimated from both classes' registers by likelihood, with their
+   set sizes known; pairs far below the threshold are left. For the others the full sets are intersected, all at
+   once, as products of 0/1 matrices. Only a spanning forest of the links found is returned, never the pairs.
+   Members that their block links to the centre are done with one another; only those it doesn't link meet the
+   members of all other blocks, in chunks of a block's size.
 5. Components of these links (``components``).
 
 Joins are sort-merge joins at every size, so plans and what they move don't change as tables grow.
 
 A pair at the threshold is missed if it shares no band (0.8: 3e-6 with 24 bands of 4) or if its estimate is
-off by more than ``margin`` (6 standard deviations with the default). A group whose members lie near the
-threshold without reaching it costs block pairs in the square of its size, spread over tasks.
+off by more than ``margin`` (6 standard deviations with the default). A group of n members in k blocks compares
+n * block_rows / 2 estimates when its members are linked to the centre; where none is, every two of its blocks meet.
 
-Defined results: a text with fewer words than a shingle is one shingle; null, empty and wordless texts have
+Defined results: a very long text is compared whole, in a block with few others; a text with fewer words than a shingle is one shingle; null, empty and wordless texts have
 no shingles and are alone; equal texts are linked; a component's id is its smallest key, nulls last; rows
 with equal keys are rows of their own; an empty table gives none; columns named in ``keep`` come back, others
 aren't read, and names of either never clash because they travel inside one struct.
@@ -165,7 +167,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Staged:
-    """Texts and sketches in a table: (row, key, kept, n, d1, d2, z, registers, bands)."""
+    """Texts and sketches in a table: (row, key, kept, missing, n, d1, d2, size, z, registers, bands)."""
 
     def __init__(self, df: DataFrame, key: str, text: str, keep: tuple[str, ...], k: int, sketch: SetSketch, rows: int):
         spark = df.sparkSession
@@ -192,18 +194,25 @@ class Staged:
                 "n": n,
                 "d1": d[0].astype(np.int64),
                 "d2": d[1].astype(np.int64),
+                "size": np.diff(block.offs),
                 "z": _store.packed(block),
                 "registers": pa.array([r.tobytes() for r in registers], pa.binary()),
                 "bands": _text.ragged_lists(keys[some].ravel(), np.where(some, bands, 0), pa.int64()),
             }
 
-        schema = f"row long, key {kinds['key']}, kept {kinds['kept']}, missing boolean, n long, d1 long, d2 long, z binary, registers binary, bands array<long>"
+        schema = f"row long, key {kinds['key']}, kept {kinds['kept']}, missing boolean, n long, d1 long, d2 long, size long, z binary, registers binary, bands array<long>"
         out = _text.map_blocks(picked, {c: c for c in picked.columns}, work, schema)
         self.table = _store.written(out, f"{self.path}/texts")
 
 
+def _apart(rows: list[int], edges: list[tuple[int, int]], centre: int) -> list[int]:
+    """The rows that a forest's edges (node, root) don't link to the centre."""
+    root = {r: r for r in rows} | dict(edges)
+    return [r for r in rows if root[r] != root[centre]]
+
+
 def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), k: int = 5, percent: int = 80, m: int = 96, rows: int = 4, margin: float = 0.25, block_rows: int = 1024, block_bytes: int = 8 << 20, keep_texts: bool = False
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = (), k: int = 5, percent: int = 80, m: int = 96, rows: int = 4, margin: float = 0.25, block_rows: int = 1024, block_bytes: int = 16 << 20, keep_texts: bool = False
 ) -> DataFrame:
     """(row, key, kept, n, component, first, and texts packed as ``z`` if ``keep_texts``): per row the size of its set, its
     component's smallest key, and whether it is the row that represents the component."""
@@ -211,19 +220,22 @@ def near_duplicates(
     sketch = SetSketch(m)
     staged = Staged(df, key, text, keep, k, sketch, rows)
     table, path = staged.table, staged.path
-    classes = table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("class"))
+    # A class's best row has the smallest key, nulls last, and of equal keys is the first.
+    rank = F.struct(F.col("key").isNull().alias("no"), "key", "row")
+    classes = table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("class"), F.min(rank).alias("best"))
     classes = _store.written(classes, f"{path}/classes")
-    sole = table.select("row", "bands", F.length("z").alias("bytes")).join(classes.select(F.col("class").alias("row")).hint("merge"), "row").select("row", F.explode("bands").alias("band"), "bytes")
+    sole = table.select("row", "bands", "size").join(classes.select(F.col("class").alias("row")).hint("merge"), "row").select("row", F.explode("bands").alias("band"), "size")
     sole = _store.written(sole, f"{path}/bands")
     centres = sole.groupBy("band").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = _store.written(sole.join(centres.hint("merge"), "band").select("centre", "row", "bytes").distinct(), f"{path}/members")
-    # Members that fit into two blocks stay together; else every two blocks meet.
-    share = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
-    sizes = members.groupBy("centre").agg(F.when(share <= 2, 1).otherwise(share).alias("k"))
-    met = members.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
-    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("mine")))
-    met = met.select("row", "centre", "mine", F.explode(others).alias("other")).select("row", "centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    met = met.join(table.select("row", "n", "registers", "z").hint("merge"), "row")
+    centres = _store.written(centres, f"{path}/centres")
+    members = _store.written(sole.join(centres.hint("merge"), "band").select("centre", "row", "size").distinct(), f"{path}/members")
+    share = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_bytes)).cast("int")
+    sizes = members.groupBy("centre").agg(share.alias("k"))
+    members = _store.written(members.join(sizes.hint("merge"), "centre").withColumn("block", F.pmod(F.xxhash64("row"), F.col("k")).cast("int")).drop("size"), f"{path}/dealt")
+    bodies = table.select("row", "n", "registers", "z").hint("merge")
+    # First every block with the centre, which stands for the group; a block of its own if the group has one only.
+    centre_of = members.where("row = centre and k > 1").select("centre", "row", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
+    met = members.unionByName(centre_of).select("centre", "row", "k", "block").distinct().withColumn("other", F.lit(-1)).join(bodies, "row")
     low = percent / 100 - margin
 
     def compare(block: pa.Table) -> pa.Table:
@@ -241,17 +253,41 @@ def near_duplicates(
             buf, offs = _store.unpacked([z[int(order[i])].as_py() for i in some])
             h, bounds = shingle_sets(buf, offs, k)
             sets = [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            edges = [(row[some[a]], row[some[b]]) for a, b in forest(linked(sets, percent, tried[np.ix_(some, some)]))]
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    edges = met.groupBy("centre", "i", "j").applyInArrow(compare, "a long, b long")
+            edges = [(int(row[some[a]]), int(row[some[b]])) for a, b in forest(linked(sets, percent, tried[np.ix_(some, some)]))]
+        centre, many = block.column("centre")[0].as_py(), block.column("k")[0].as_py() > 1
+        # In the first round of a group of several blocks: rows that the block doesn't link to the centre.
+        left = _apart(row.tolist(), edges, centre) if many and block.column("other")[0].as_py() < 0 else []
+        own = block.column("block")[0].as_py()
+        return pa.table(
+            {
+                "a": pa.array([e[0] for e in edges] + [None] * len(left), pa.int64()),
+                "b": pa.array([e[1] for e in edges] + left, pa.int64()),
+                "centre": pa.array([centre] * (len(edges) + len(left)), pa.int64()),
+                "block": pa.array([own] * (len(edges) + len(left)), pa.int32()),
+            }
+        )
+
+    schema = "a long, b long, centre long, block int"
+    first = _store.written(met.groupBy("centre", "block", "other").applyInArrow(compare, schema), f"{path}/first")
+    # Then those that stay apart with all members of the other blocks, in chunks as large as a block.
+    apart = first.where("a is null").select("centre", F.col("b").alias("row"), F.col("block").alias("own"))
+    chunks = apart.groupBy("centre").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m"))
+    apart = _store.written(apart.join(chunks.hint("merge"), "centre").withColumn("other", F.pmod(F.xxhash64("row", F.lit(1)), F.col("m")).cast("int")), f"{path}/apart")
+    blocks_of = members.groupBy("centre").agg(F.first("k").alias("k")).where("k > 1")
+    theirs = apart.join(blocks_of.hint("merge"), "centre").select("centre", "row", "k", "own", "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block")).where("block <> own").drop("own")
+    asked = members.join(chunks.hint("merge"), "centre").select("centre", "row", "k", "block", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    met = asked.unionByName(theirs.select(asked.columns)).distinct().join(bodies, "row")
+    second = met.groupBy("centre", "block", "other").applyInArrow(compare, schema)
+    edges = first.where("a is not null").select("a", "b").unionByName(second.select("a", "b"))
     roots = connected(edges, f"{path}/components")
-    of_class = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("d1", "d2", "n", F.coalesce("root", "class").alias("root"))
-    rows_ = table.select("row", "key", "n", "d1", "d2").join(of_class.hint("merge"), ["d1", "d2", "n"], "left").select("row", "key", F.coalesce("root", "row").alias("root"))
-    # The smallest key, nulls last, and of equal keys the first row.
-    first = rows_.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row")).alias("best"))
-    found = rows_.join(first.hint("merge"), "root").select("row", F.col("best.key").alias("component"), (F.col("best.row") == F.col("row")).alias("first"))
-    table = table.drop("bands", "registers", "d1", "d2", *([] if keep_texts else ["z", "missing"]))
+    of_class = classes.join(roots.select(F.col("node").alias("class"), "root").hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    of_class = _store.written(of_class, f"{path}/roots")
+    # Both tables are written before the joins, so that a frequent class or root is split by them, not met by an aggregate.
+    best = _store.written(of_class.groupBy("root").agg(F.min("best").alias("best")), f"{path}/best")
+    of_class = _store.written(of_class.drop("best").join(best.hint("merge"), "root").select("d1", "d2", "n", "best"), f"{path}/of_class")
+    found = table.select("row", "key", "n", "d1", "d2").join(of_class.hint("merge"), ["d1", "d2", "n"], "left")
+    found = found.select("row", F.when(F.col("best").isNull(), F.col("key")).otherwise(F.col("best.key")).alias("component"), F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("first"))
+    table = table.drop("bands", "registers", "d1", "d2", "size", *([] if keep_texts else ["z", "missing"]))
     return _store.settled(found.join(table.hint("merge"), "row"), path)
 
 
