@@ -67,19 +67,19 @@ class ByteCNN:
         out[short] *= np.arange(self.length) < left[short, None]
         return out, bounds, left
 
-    def _responses(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embedded windows and every filter's response at every place where the widest filter fits."""
+    def _responses(self, windows: np.ndarray) -> np.ndarray:
+        """Every filter's response at every place where the widest filter fits."""
         p, w = self.params, max(self.widths)
         places = self.length - w + 1
         x = p["embed"][windows]
         view = np.lib.stride_tricks.sliding_window_view(x, w, axis=1).transpose(0, 1, 3, 2)
         columns = np.ascontiguousarray(view).reshape(-1, w * self.dim)
-        return x, (columns @ p["conv"]).reshape(len(windows), places, -1)
+        return (columns @ p["conv"]).reshape(len(windows), places, -1)
 
     def pooled(self, windows: np.ndarray, at_once: int = 256) -> np.ndarray:
         out = np.empty((len(windows), self.mask.shape[1]), np.float32)
         for a in range(0, len(windows), at_once):
-            out[a : a + at_once] = self._responses(windows[a : a + at_once])[1].max(axis=1)
+            out[a : a + at_once] = self._responses(windows[a : a + at_once]).max(axis=1)
         return np.maximum(out + self.params["bias"], 0)
 
     def _combined(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -120,9 +120,11 @@ class ByteCNN:
         p, w = self.params, max(self.widths)
         windows = np.concatenate(examples)
         bounds = np.concatenate([[0], np.cumsum([len(e) for e in examples])])
-        x, responses = self._responses(windows)
-        where = responses.argmax(axis=1)
-        raw = np.take_along_axis(responses, where[:, None], axis=1)[:, 0] + p["bias"]
+        where, raw = (np.empty((len(windows), self.mask.shape[1]), t) for t in (np.int64, np.float32))
+        for a in range(0, len(windows), 256):
+            responses = self._responses(windows[a : a + 256])
+            where[a : a + 256] = most = responses.argmax(axis=1)
+            raw[a : a + 256] = np.take_along_axis(responses, most[:, None], axis=1)[:, 0] + p["bias"]
         h = np.maximum(raw, 0)
         doc = self._combined(h, bounds)
         z = doc @ p["out"] + p["out_bias"]
@@ -143,9 +145,9 @@ class ByteCNN:
         # Only the winning places take part: their bytes' embeddings, for each window and filter.
         span = where[:, :, None] + np.arange(w)
         rows = np.arange(len(windows))[:, None, None]
-        seen = x[rows, span].reshape(len(windows), where.shape[1], -1)
+        which = windows[rows, span]
+        seen = p["embed"][which].reshape(len(windows), where.shape[1], -1)
         grads["conv"] = np.einsum("nf,nfk->kf", g, seen, optimize=True) * self.mask
         back = (g[:, :, None] * p["conv"].T[None]).reshape(-1, self.dim)
-        which = windows[rows, span].reshape(-1)
-        grads["embed"] = np.stack([np.bincount(which, back[:, d], 256) for d in range(self.dim)], axis=1).astype(np.float32)
+        grads["embed"] = np.stack([np.bincount(which.reshape(-1), back[:, d], 256) for d in range(self.dim)], axis=1).astype(np.float32)
         return grads

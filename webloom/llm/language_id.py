@@ -4,7 +4,7 @@ The network (``bytecnn``) is fitted on the driver on a bounded sample of labelle
 batches, to fixed-length windows that cover every whole text; a text's probabilities are its windows', each
 weighed by its bytes. Nothing is shuffled when it is applied.
 
-Defined results: null text, and text without a letter, is ``und`` with score 0; without any labelled row
+Defined results: all windows of a very long text count, each by its bytes; null text, and text without a letter, is ``und`` with score 0; without any labelled row
 every text is; one label only gives that label with score 1; repeated rows give repeated results; equal
 probabilities go to the label first in order; a null key stays null and is never learnt from; no other
 column is read.
@@ -23,17 +23,26 @@ from webloom.llm.bytecnn import ByteCNN
 UNKNOWN = "und"
 
 
-def sampled_windows(docs: DataFrame, sample: DataFrame, key: str, text: str, net: ByteCNN, per_row: int) -> tuple[list[np.ndarray], list]:
-    """The windows and labels of the rows of ``docs`` whose key is in ``sample`` (key, label; bounded by the
-    caller, so it may be broadcast): up to ``per_row`` windows spread evenly over each whole text."""
+def bounded(rows: list, max_bytes: int) -> list:
+    """The first of these rows (with ``size``) whose texts have ``max_bytes`` bytes together at most; one at least."""
+    out, total = [], 0
+    for r in rows:
+        total += r["size"] or 0
+        if out and total > max_bytes:
+            break
+        out.append(r)
+    return out
+
+
+def all_windows(docs: DataFrame, sample: DataFrame, key: str, text: str, net: ByteCNN) -> tuple[list[np.ndarray], list]:
+    """All windows of the whole text, and the label, of each row of ``docs`` that has a row of ``sample`` (key, label;
+    bounded by the caller, so it may be broadcast)."""
     label = dict(sample.dtypes)["label"]
     picked = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "k")
 
     def work(block: _text.Block) -> dict:
         windows, bounds, _ = net.windows(block.buf, block.offs)
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            out.append(windows[np.unique(np.linspace(a, b - 1, min(per_row, b - a)).round().astype(np.int64))].tobytes())
+        out = [windows[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return {"k": block.columns["k"], "label": block.columns["label"], "w": pa.array(out, pa.binary())}
 
     kind = dict(picked.dtypes)["k"]
@@ -42,22 +51,24 @@ def sampled_windows(docs: DataFrame, sample: DataFrame, key: str, text: str, net
     return [np.frombuffer(bytes(r["w"]), np.uint8).reshape(-1, net.length) for r in rows], [r["label"] for r in rows]
 
 
-def train_language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", *, max_rows: int = 3000, per_row: int = 3, length: int = 256, steps: int = 450) -> ByteCNN:
-    """Fit on at most ``max_rows`` rows with text, key and label, those first in the order of a hash of
-    their keys; ``per_row`` windows of each."""
+def train_language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", *, max_rows: int = 3000, max_bytes: int = 8 << 20, length: int = 256, steps: int = 450, batch: int = 64) -> ByteCNN:
+    """Fit on all windows of the whole texts of a bounded sample of labelled rows: those first in the order of a hash of
+    their keys, ``max_rows`` at most, and of these as many as have ``max_bytes`` of text together. Every window is seen
+    once at least, whatever ``steps``."""
     rows = docs.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull())
-    sample = rows.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("string").alias("label")).distinct()
-    sample = sample.orderBy(F.xxhash64("k"), "k", "label").limit(max_rows).collect()
-    classes = sorted({r["label"] for r in sample})
+    sample = rows.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("string").alias("label"), F.octet_length(F.col(f"`{text}`")).cast("long").alias("size"))
+    sample = sample.groupBy("k", "label").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("k"), "k", "label").limit(max_rows).collect()
+    sample = [(r["k"], r["label"]) for r in bounded(sample, max_bytes)]
+    classes = sorted({k for _, k in sample})
     net = ByteCNN(classes, length=length, fold_case=True)
     if len(classes) < 2:
         return net
     picked = docs.sparkSession.createDataFrame(sample, f"k {dict(docs.dtypes)[key]}, label string")
-    examples, labels = sampled_windows(docs, picked, key, text, net, per_row)
+    examples, labels = all_windows(docs, picked, key, text, net)
     windows = [w[None] for e in examples for w in e if w.any()]
     index = {c: i for i, c in enumerate(classes)}
     targets = np.array([index[k] for e, k in zip(examples, labels, strict=True) for w in e if w.any()])
-    return net.fit(windows, targets, steps=steps, batch=64)
+    return net.fit(windows, targets, steps=max(steps, -(-len(windows) // batch)), batch=batch)
 
 
 def identify_languages(docs: DataFrame, net: ByteCNN, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ Learned filters run over overlapping chunks that cover the document; each chunk
 are combined (maximum and mean of every filter) and a softmax gives one probability. The network is fitted
 on the driver on a bounded sample of labelled rows; it is applied in batches and shuffles nothing.
 
-Defined results: null and empty text get the score of an empty window; without labels, or with labels of one
+Defined results: all chunks of a very long text count; null and empty text get the score of an empty window; without labels, or with labels of one
 class only, every score is that class's (0.5 without any); labels that contradict each other for a key are
 left out; repeated rows give repeated results; a null key stays null and is never learnt from; no other
 column is read.
@@ -18,24 +18,30 @@ from pyspark.sql import functions as F
 
 from webloom.llm import _text
 from webloom.llm.bytecnn import ByteCNN
-from webloom.llm.language_id import remainder, sampled_windows
+from webloom.llm.language_id import all_windows, bounded, remainder
 
 
 def train_quality(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, max_rows: int = 4000, per_row: int = 6, length: int = 256, steps: int = 600
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, max_rows: int = 4000, max_bytes: int = 16 << 20, length: int = 256, steps: int = 800, batch: int = 16
 ) -> ByteCNN:
-    """Fit on at most ``max_rows`` labelled keys, those first in the order of a hash of their keys;
-    ``per_row`` chunks spread over each whole text. Labels are 0 and 1."""
+    """Fit on all chunks of the whole texts of a bounded sample of labelled keys: those first in the order of a hash of the
+    keys, ``max_rows`` at most, and of these as many as have ``max_bytes`` of text together. Labels are 0 and 1."""
     votes = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     agreed = votes.groupBy("k").agg(F.min("y").alias("label"), F.max("y").alias("other")).where("label = other").drop("other")
-    sample = agreed.orderBy(F.xxhash64("k"), "k").limit(max_rows).collect()
-    classes = sorted({r["label"] for r in sample})
+    kind = f"k {dict(labels.dtypes)[key]}, label int"
+    first = agreed.orderBy(F.xxhash64("k"), "k").limit(max_rows).collect()
+    classes = sorted({r["label"] for r in first})
     net = ByteCNN(classes, length=length, over_document=True)
     if len(classes) < 2:
         return net
-    picked = docs.sparkSession.createDataFrame(sample, f"k {dict(labels.dtypes)[key]}, label int")
-    examples, targets = sampled_windows(docs, picked, key, text, net, per_row)
-    return net.fit(examples, np.array(targets), steps=steps, batch=32) if examples else net
+    spark = docs.sparkSession
+    sizes = docs.select(F.col(f"`{key}`").alias("k"), F.octet_length(F.col(f"`{text}`")).cast("long").alias("size")).join(F.broadcast(spark.createDataFrame(first, kind)), "k")
+    sizes = sizes.groupBy("k", "label").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("k"), "k").collect()
+    sample = [(r["k"], r["label"]) for r in bounded(sizes, max_bytes)]
+    if not sample:
+        return net
+    examples, targets = all_windows(docs, spark.createDataFrame(sample, kind), key, text, net)
+    return net.fit(examples, np.array(targets), steps=steps, batch=batch)
 
 
 def score_quality(docs: DataFrame, net: ByteCNN, key: str = "doc_id", text: str = "text") -> DataFrame:
