@@ -386,6 +386,7 @@ def test_pieces_equal_the_library(spark, odd, odd_rows):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
     rows = [r[:2] for r in odd_rows] + [(60 + k, " " * k + "x" + " " * (k % 3)) for k in range(25)]
+    rows += [(100, "\n a\n\n  b \n"), (101, " "), (102, "a b  c\td")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = pieces.encode_pieces(df)
     want = bag([(d, sp.encode(t or "")) for d, t in rows])
@@ -404,16 +405,35 @@ def test_pieces_of_zero_characters(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     texts = ["alpha beta", "\0", "a\0b", "x \0\0 y\0", "\0lead", "trail\0", " \0 ", "漢\0字\n\0\nbeta", "the\0 of the", "alpha beta", "😀\0"]
     want = [sp.encode(t) for t in texts]
-    coder = pieces.Encoder(pieces._model(model))
+    coder, m = pieces.Encoder(pieces._model(model)), pieces._model(model)
     # A second batch reads the parts kept from the first.
     for batch in (texts, texts[::-1]):
         expected = want if batch is texts else want[::-1]
-        assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode(batch)] == expected
+        block = _block(batch)
+        ids, counts = coder.encode(*pieces.with_prefix(block.buf, block.offs))
+        ends = np.cumsum(counts)
+        assert [ids[e - c : e].tolist() for c, e in zip(counts, ends, strict=True)] == expected
+        assert [pieces.decoded(ids[e - c : e], m) for c, e in zip(counts, ends, strict=True)] == batch
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: r for r in pieces.encode_pieces(df).collect()}
     assert [got[i]["ids"] for i in range(len(texts))] == want and all(r["round_trip"] for r in got.values())
 
 
+def test_seams_against_merges():
+    """Whether two tokens stay apart, by the merges at their edges, equals running all merges."""
+    import random
+
+    import public_tokenizers
+
+    m = pieces._model(str(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(6)
+    names = list(m.ids)
+    short = [p for p in names if len(p) <= 3]
+    for _ in range(8000):
+        a, b = rng.choice(rng.choice([names, short])), rng.choice(rng.choice([names, short]))
+        assert m.apart(a, b) == (m.merged(a + b) == [a, b]), (a, b)
+
+
 def test_token_store(spark, odd, odd_rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

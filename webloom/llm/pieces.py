@@ -8,7 +8,8 @@ the model's merges run over both. The merges fix exactly one such edge for each
 Characters that no piece has are written as bytes. Results equal the ``sentencepiece`` library's for BPE
 models with identity normalisation, a dummy prefix and byte fallback, which ``Model`` requires.
 
-Defined results: null and empty texts have no ids; U+2581 in a text is the model's white space and is
+Defined results: null and empty texts have no ids; a very long text is a batch of its own, encoded whole; of edges that
+end at one place the merges leave one, so there are no ties; U+2581 in a text is the model's white space and is
 decoded as a space, so such a text doesn't come back as it was; repeated rows give repeated results; an
 empty table gives none; a null key stays null; no other column is read.
 """
@@ -16,6 +17,7 @@ empty table gives none; a null key stays null; no other column is read.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from functools import cached_property
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import _text
+from webloom.llm._parts import Parts
 
 _SPACE = "▁"
 #: Between parts: no character and no piece has this code point, so U+0000 in a text is a character like any other.
 _SEPARATOR = 0x110000
-#: Encodings of parts in each of the two generations that a Python worker keeps between batches and tasks.
-MEMO = 150_000
+#: Parts that a Python worker keeps between batches and tasks.
+MEMO = 400_000
 _START = -2
 
 
@@ -76,7 +79,17 @@ class Model:
         """Cuts a text where no piece lies across: where white space begins, and around line ends if no piece has one."""
         if any(_SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("pieces with white space after other characters are not supported")
-        return re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+" if any("\n" in p for p in self.ids) else f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
+        return re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+" if not self.cuts_lines else f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
+
+    @cached_property
+    def cuts_lines(self) -> bool:
+        return not any("\n" in p for p in self.ids)
+
+    @cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, begins, sizes): the bytes of all ids' outputs, one after another."""
+        sizes = np.array([len(o) for o in self.outputs], np.int64)
+        return np.frombuffer(b"".join(self.outputs), np.uint8), np.cumsum(sizes) - sizes, sizes
 
     @cached_property
     def matrix(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -122,6 +135,47 @@ class Model:
         return [p for p in parts if p is not None]
 
 
+    @cached_property
+    def _edges(self) -> dict[tuple[str, bool], tuple[bool, list[tuple[str, float, float]]] | None]:
+        return {}
+
+    def _edge(self, piece: str, last: bool) -> tuple[bool, list[tuple[str, float, float]]] | None:
+        """The tokens at a piece's last (or first) place while its merges run, each with the scores of the merges that make
+        and end it, and whether the merges' scores only fall; None if the merges don't end in the piece."""
+        if (piece, last) not in self._edges:
+            parts, out, falls = list(piece), [], True
+            since = now = math.inf
+            while len(parts) > 1:
+                pairs = [(-self.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.scores]
+                if not pairs:
+                    break
+                s, i = min(pairs)
+                falls &= -s <= now
+                now = -s
+                if i == (len(parts) - 2 if last else 0):
+                    out.append((parts[-1 if last else 0], since, now))
+                    since = now
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self._edges[piece, last] = (falls, [*out, (piece, since, -math.inf)]) if len(parts) == 1 else None
+        return self._edges[piece, last]
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether the merges over both tokens' characters end in these two. They don't if two tokens that stand at the seam at
+        one time have a merge that comes before the next one on either side (of equal ones the leftmost is first)."""
+        a, b = self._edge(left, True), self._edge(right, False)
+        if a is None or b is None:
+            return False
+        if not (a[0] and b[0]):
+            return self.merged(left + right) == [left, right]
+        scores = self.scores
+        for x, x_since, x_until in a[1]:
+            for y, y_since, y_until in b[1]:
+                s = scores.get(x + y)
+                if s is not None and x_until < y_since and y_until <= x_since and s > x_until and s >= y_until:
+                    return False
+        return True
+
+
 _models: dict[str, Model] = {}
 
 
@@ -130,45 +184,54 @@ def _model(path: str) -> Model:
 
 
 class Encoder:
-    """Encodes batches; keeps parts seen before, as bytes of 32-bit ids. A full generation replaces the one
-    before it, from which parts still in use are taken over."""
+    """Encodes blocks of texts; keeps the ids of parts seen before."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept = Parts(MEMO)
         #: Pairs of tokens whose seam has been tried, in order, and whether they stay apart.
         self.pairs, self.values = np.zeros(0, np.int64), np.zeros(0, bool)
         self.runs: dict[int, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = self.model.parts.findall
-        parts = [cut(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        new = {p for doc in parts for p in doc} - self.memo.keys()
-        known = new & self.older.keys()
-        self.memo.update((p, self.older[p]) for p in known)
-        new -= known
-        if new:
-            self._learn(sorted(new))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, doc)) for doc in parts]
-
-    def _learn(self, new: list[str]) -> None:
-        """Space runs before a part merge after everything else, and only with each other."""
-        cores = sorted({p[len(p) - len(p.lstrip(_SPACE)) - 1 :] if p.startswith(_SPACE * 2) else p for p in new} - {_SPACE})
-        found = dict(zip(cores, self._matched([c for c in cores if c.strip(_SPACE)]), strict=False)) if cores else {}
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each text) of texts that begin with the dummy prefix, a space."""
+        space, feed = buf == 32, buf == 10
+        begins = np.zeros(len(buf) + 1, bool)
+        begins[:-1] = space
+        begins[1:-1] &= ~space[:-1]
+        if self.model.cuts_lines:
+            begins[:-1] |= feed
+            begins[1:] |= feed
+        begins[offs] = True
+        return self.kept.encode(buf, np.flatnonzero(begins[: len(buf)]), offs, self._ids_of)
+
+    def _ids_of(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._learn([p.decode().replace(" ", _SPACE) for p in parts])
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Space runs before a part merge after everything else, and only with each other. A space written as U+2581 cuts a
+        part in two."""
+        bodies = [p.lstrip(_SPACE) for p in new]
+        odd = [i for i, b in enumerate(bodies) if _SPACE in b]
+        if odd:
+            cut, whole = [self.model.parts.findall(new[i]) for i in odd], set(odd)
+            found = dict(zip(extra := sorted({x for p in cut for x in p}), self._learn(extra), strict=True))
+            rest = iter(self._learn([p for i, p in enumerate(new) if i not in whole]))
+            joined = {i: b"".join([found[x] for x in p]) for i, p in zip(odd, cut, strict=True)}
+            return [joined[i] if i in whole else next(rest) for i in range(len(new))]
+        cores = [_SPACE + b if len(b) < len(p) else b for p, b in zip(new, bodies, strict=True)]
+        distinct = sorted({c for c, b in zip(cores, bodies, strict=True) if b})
+        found = dict(zip(distinct, self._matched(distinct), strict=True))
         space = np.array([self.model.ids[_SPACE]], "<u4").tobytes()
-        for p in new:
-            k = len(p) - len(p.lstrip(_SPACE))
-            if k == len(p):
-                ids = self._run(k)
-            else:
-                ids = found[p[max(0, k - 1) :]]
-                if k > 1:
-                    ids = self._run(k) + ids[4:] if ids[:4] == space else self._run(k - 1) + ids
-            self.memo[p] = ids
+        out = []
+        for p, b, c in zip(new, bodies, cores, strict=True):
+            k = len(p) - len(b)
+            ids = found[c] if b else self._run(k)
+            if b and k > 1:
+                ids = self._run(k) + ids[4:] if ids[:4] == space else self._run(k - 1) + ids
+            out.append(ids)
+        return out
 
     def _run(self, k: int) -> bytes:
         if k not in self.runs:
@@ -190,8 +253,9 @@ class Encoder:
         other = np.flatnonzero(~whole & (text != _SEPARATOR))
         start, end = np.concatenate([start, other]), np.concatenate([end, other + 1])
         piece = np.concatenate([piece, text[other] + self.model.first_character])
-        depth = end - begins[np.searchsorted(begins, start, "right") - 1]
-        order = np.argsort(depth, kind="stable")
+        depth = end - np.repeat(begins, sizes + 1)[start]
+        # Edges come in order of their piece and stay so at each depth: pairs, which begin with it, are looked up near each other.
+        order = np.argsort(depth.astype(np.uint16) if int(sizes.max()) < 1 << 16 else depth, kind="stable")
         start, end, piece, depth = start[order], end[order], piece[order], depth[order]
         steps = np.searchsorted(depth, np.arange(1, int(sizes.max()) + 2))
         last = np.full(len(text) + 2, -1, np.int64)
@@ -232,20 +296,19 @@ class Encoder:
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges over both tokens' characters end in these two tokens."""
-        keys = (np.maximum(left, 0) << 32) | right
+        keys = (right << 32) | np.maximum(left, 0)
         at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
         unknown = (self.pairs[at] != keys) if len(self.pairs) else np.ones(len(keys), bool)
         unknown &= left != _START
         if unknown.any():
-            names, first, merged = self.model.matrix[2], self.model.first_character, self.model.merged
+            names, first, apart = self.model.matrix[2], self.model.first_character, self.model.apart
             name = lambda t: names[t] if t < first else chr(t - first)
             new = np.unique(keys[unknown])
-            pairs = [(name(k >> 32), name(k & 0xFFFFFFFF)) for k in new.tolist()]
-            values = np.array([merged(a + b) == [a, b] for a, b in pairs])
-            keep = len(self.pairs) < 4 * MEMO
-            pairs, apart = (np.concatenate([self.pairs, new]), np.concatenate([self.values, values])) if keep else (new, values)
+            values = np.array([apart(name(k & 0xFFFFFFFF), name(k >> 32)) for k in new.tolist()])
+            keep = len(self.pairs) < 2 * MEMO
+            pairs, values = (np.concatenate([self.pairs, new]), np.concatenate([self.values, values])) if keep else (new, values)
             order = np.argsort(pairs)
-            self.pairs, self.values = pairs[order], apart[order]
+            self.pairs, self.values = pairs[order], values[order]
             return self._apart(left, right)
         return self.values[at] if len(self.pairs) else np.zeros(len(keys), bool)
 
@@ -256,18 +319,18 @@ class Encoder:
         reach = matrix.shape[1]
         n = len(text)
         alphabet, order = np.unique(text, return_inverse=True)
-        ranks = np.zeros(n + reach, np.int64)
+        ranks = np.zeros(n + max(reach, 64), np.int64)
         ranks[:n] = order + 1
-        step = 1
-        order = order.astype(np.int64)
+        # As many characters as fit into one number to begin with, then twice as many in each step.
+        step = min(reach, 62 // (len(alphabet) + 1).bit_length())
+        order = np.zeros(n, np.int64)
+        for j in range(step):
+            order = order * (len(alphabet) + 1) + ranks[j : j + n]
+        order = np.unique(order, return_inverse=True)[1]
         while step < reach:
             later = np.zeros(n, np.int64)
             later[: max(0, n - step)] = order[step:] + 1
-            key = order * (n + 2) + later
-            suffixes = np.argsort(key)
-            ordered = key[suffixes]
-            order = np.empty(n, np.int64)
-            order[suffixes] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+            order = np.unique(order * (n + 2) + later, return_inverse=True)[1]
             step *= 2
         suffixes = np.argsort(order)
         at = np.minimum(np.searchsorted(alphabet, matrix), len(alphabet) - 1)
@@ -303,12 +366,42 @@ def _encoder(model: Model) -> Encoder:
     return _encoders[model.path]
 
 
+def decoded_bytes(ids: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts of these ids, with the dummy prefix."""
+    data, begins, sizes = model.written
+    out = data[_text.ragged(begins[ids], sizes[ids])]
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+    return out, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+
 def decoded(ids: np.ndarray, model: Model) -> str:
     """The text of a document's ids; a dummy prefix is taken off."""
-    text = b"".join(map(model.outputs.__getitem__, ids.tolist()))
+    text = decoded_bytes(ids, np.array([len(ids)]), model)[0].tobytes()
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+def with_prefix(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space before each that isn't empty."""
+    sizes = np.diff(offs)
+    some = sizes > 0
+    ends = np.concatenate([[0], np.cumsum(sizes + some)])
+    out = np.empty(int(ends[-1]), np.uint8)
+    own = np.ones(len(out), bool)
+    own[ends[:-1][some]] = False
+    out[~own] = 32
+    out[own] = buf
+    return out, ends
+
+
+def _equal(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray) -> np.ndarray:
+    """Whether each text of one side is that of the other."""
+    same = np.diff(a_offs) == np.diff(b_offs)
+    sizes = np.where(same, np.diff(a_offs), 0)
+    differs = np.concatenate([[0], np.cumsum(a[_text.ragged(a_offs[:-1], sizes)] != b[_text.ragged(b_offs[:-1], sizes)])])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return same & (differs[ends[1:]] == differs[ends[:-1]])
+
+
 def encode_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, ids array<int>, n_pieces, ids_crc32, round_trip, kept). ``model``: the path of a model file that every executor has."""
     return _with_pieces(df, key, text, model, keep)
@@ -340,19 +433,18 @@ def _with_pieces(df: DataFrame, key: str, text: str, model: str | None, keep: tu
     kind = dict(df.dtypes)[key]
 
     def work(block: _text.Block) -> dict:
-        texts = block.columns["text"].to_pylist()
-        coded = _encoder(m).encode(texts)
-        ids = [np.frombuffer(c, "<u4") for c in coded]
+        buf, offs = with_prefix(block.buf, block.offs)
+        ids, counts = _encoder(m).encode(buf, offs)
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
         out = {
             "key": block.columns["key"],
-            "n_pieces": [len(x) for x in ids],
-            "ids_crc32": [zlib.crc32(c) for c in coded],
-            "round_trip": [decoded(x, m) == (t or "") for x, t in zip(ids, texts, strict=True)],
+            "n_pieces": counts,
+            "ids_crc32": [zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)],
+            "round_trip": _equal(*decoded_bytes(ids, counts, m), buf, offs),
         }
         if keep is None:
             return out
-        flat = _text.ragged_lists(np.frombuffer(b"".join(coded), "<i4"), np.array([len(x) for x in ids], np.int64), pa.int32())
-        return out | {"ids": flat, "kept": block.columns["kept"]}
+        return out | {"ids": _text.ragged_lists(ids.astype(np.int32), counts, pa.int32()), "kept": block.columns["kept"]}
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *([] if keep is None else [_text.kept(keep)]))
     schema = f"key {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ("" if keep is None else f", ids array<int>, kept {dict(rows.dtypes)['kept']}")

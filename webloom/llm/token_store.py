@@ -31,7 +31,6 @@ import json
 import os
 import zlib
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import _store, _text
+from webloom.llm._parts import Parts
 
 DIGEST = 16
 #: Bytes of text encoded at once; a longer text is encoded alone.
@@ -166,14 +166,7 @@ class Coder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.parted = added and made.get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begins = np.zeros(1 << 16, np.int64)
-        self.counts = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.parts = Parts(self.MEMO)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -218,20 +211,6 @@ class Coder:
             out[_text.ragged(begins[which], counts[which])] = ids
         return out, counts
 
-    def _add(self, new: list[bytes]) -> None:
-        """Encode parts that aren't kept yet."""
-        flat, sizes = self._parts_ids(new)
-        at = len(self.memo)
-        while at + len(new) > len(self.begins):
-            self.begins, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.counts))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.begins[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.counts[at : at + len(new)] = sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.memo.update(zip(new, range(at, at + len(new)), strict=True))
-
     def encode(self, block: _text.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): document i's ids are those from ``bounds[i]`` to ``bounds[i + 1]``."""
         whole = self._others(block) if self.parted else np.ones(block.n, bool)
@@ -243,26 +222,7 @@ class Coder:
             offs = np.concatenate([[0], np.cumsum(np.where(whole, 0, sizes))])
         else:
             coded, buf, offs = {}, block.buf, block.offs
-        begins = parts_of(buf, offs)
-        if len(begins):
-            buf = np.ascontiguousarray(buf)
-            cuts = np.append(begins, len(buf)).astype(np.int32)
-            found = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(cuts), pa.py_buffer(buf)]).dictionary_encode()
-            distinct = found.dictionary.to_numpy(zero_copy_only=False)
-            if len(self.memo) > self.MEMO:
-                self._forget()
-            number = np.fromiter(map(self.memo.get, distinct, repeat(-1)), np.int64, len(distinct))
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                number[new] = len(self.memo) + np.arange(len(new))
-                self._add(distinct[new].tolist())
-            number = number[found.indices.to_numpy()]
-            counts = self.counts[number]
-            ids = self.ids[_text.ragged(self.begins[number], counts)]
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            n_ids = np.diff(ends[np.searchsorted(begins, offs)])
-        else:
-            ids, n_ids = np.zeros(0, np.uint32), np.zeros(block.n, np.int64)
+        ids, n_ids = self.parts.encode(buf, parts_of(buf, offs), offs, self._parts_ids)
         if coded:
             pieces, at = [], np.concatenate([[0], np.cumsum(n_ids)]).tolist()
             for i in range(block.n):
