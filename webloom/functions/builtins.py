@@ -8,7 +8,7 @@ import struct
 import urllib.parse
 from dataclasses import dataclass, field
 
-from webloom.functions import regex2
+from webloom.functions import regex2, urls
 from webloom.plans.types import BOOL, FLOATS, INTEGERS, STRING, Type, assignable, literal_fits, parse_type, primitive
 
 #: Unicode's White_Space characters (fixed values).
@@ -180,15 +180,10 @@ def _shortest32(value: float) -> str:
     return repr(abs(value))
 
 
-def _url(text: str) -> urllib.parse.SplitResult:
-    if re.search(r"[\x00-\x1f\x7f]", text) or re.search(r"%(?![0-9A-Fa-f]{2})", text.split("?")[0].split("#")[0]):
-        raise BuiltinError("invalid URL")
-    try:
-        parts = urllib.parse.urlsplit(text)
-        _ = parts.port
-    except ValueError as e:
-        raise BuiltinError(f"invalid URL: {e}") from None
-    if re.match(r":", text) or " " in parts.netloc:
+def _url(text: str) -> tuple[str, str]:
+    """(path, query)."""
+    parts = urls.split(text)
+    if parts is None:
         raise BuiltinError("invalid URL")
     return parts
 
@@ -291,22 +286,24 @@ def apply_builtin(name: str, x, named: dict, positional: list = (), given: str =
     if name == "coalesce":
         return arg("value") if x is None else x
     if name == "url-resolve":
-        _url(x)
-        out = urllib.parse.urljoin(arg("base"), x)
+        out = urls.resolve(arg("base"), x)
+        if out is None:
+            raise BuiltinError("invalid URL reference")
         return out
     if name == "url-query":
-        found = []
-        for pair in _url(x).query.split("&"):
-            k, _, v = pair.partition("=")
-            if pair and ";" not in pair and _decoded(k, True) == arg("name"):
-                found.append(_decoded(v, True))
+        query = _url(x)[1]
+        if ";" in query:
+            raise BuiltinError("invalid semicolon in the query")
+        pairs = [[_decoded(v, True) for v in pair.partition("=")[::2]] for pair in query.split("&") if pair]
+        found = [v for k, v in pairs if k == arg("name")]
         return found[arg("index")] if arg("index") < len(found) else None
     if name == "url-path":
-        return _decoded(_url(x).path)
+        return _decoded(_url(x)[0])
     if name == "path-segment":
-        parts = [p for p in _url(x).path.split("/") if p]
+        # Without a path, what is given is one.
+        parts = [_decoded(p) for p in (_url(x)[0] or x).split("/") if p]
         i = arg("index")
-        return _decoded(parts[i]) if -len(parts) <= i < len(parts) else None
+        return parts[i] if -len(parts) <= i < len(parts) else None
     if name == "assert-enum":
         if not any(x == v and isinstance(x, bool) == isinstance(v, bool) for v in positional):
             raise BuiltinError("value is not one of the required values")

@@ -2,13 +2,14 @@
 
 Each gives a pair (value, failed): a value is null where the result is null, and ``failed`` says that the
 input was refused. Nothing here runs Python on the executors, except for ``url-resolve``, counted
-``regex-replace``, float ``to-string`` and radixes other than ten, which Spark's functions can't express and
-which are Arrow functions. Null input gives null and doesn't fail, but for ``coalesce``.
+``regex-replace``, float ``to-string`` and ``parse-int`` of radixes other than ten, which Spark's functions can't
+express and which are Arrow functions. Null input gives null and doesn't fail, but for ``coalesce``.
 """
 
 from __future__ import annotations
 
 import functools
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from webloom.functions import regex2
+from webloom.functions import regex2, urls
 from webloom.functions.builtins import BUILTINS, WHITE, BuiltinError, apply_builtin
 from webloom.plans.types import INTEGERS, Type, parse_type
 
@@ -56,9 +57,9 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
     fails = lambda bad: F.coalesce(bad, never)
     kept = lambda value, bad: (F.when(~fails(bad), value), fails(bad))
     if name == "trim":
-        return F.regexp_replace(x, F.lit(f"^{_WHITE}+|{_WHITE}+\\z"), F.lit("")), never
+        return F.btrim(x, F.lit("".join(WHITE))), never
     if name == "normalize-whitespace":
-        return F.regexp_replace(F.regexp_replace(x, F.lit(f"^{_WHITE}+|{_WHITE}+\\z"), F.lit("")), F.lit(f"{_WHITE}+"), F.lit(" ")), never
+        return F.btrim(F.regexp_replace(x, F.lit(f"{_WHITE}+"), F.lit(" ")), F.lit(" ")), never
     if name == "lowercase":
         return F.lower(x), never
     if name == "uppercase":
@@ -84,12 +85,13 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
         if name == "assert-matches":
             return kept(x, ~x.rlike(p.java))
         if name == "regex-capture":
-            # An empty group that took part and one that didn't look alike to regexp_extract: mark the former.
             found = F.regexp_extract(x, p.java, args["group"])
             if args["group"] == 0:
                 return F.when(x.rlike(p.java), found), never
-            got = _arrow(name, named, (), _given, parse_type("string?"))(x)
-            return F.when(x.rlike(p.java), F.when(found != "", found).otherwise(got["v"])), never
+            # An empty group that took part and one that didn't look alike to regexp_extract, but only the former can be
+            # referred to: the first match is taken without going back, then its group is asked for.
+            took_part = f"\\A(?>(?s:.*?)(?={p.java}))(?>{p.java})\\{p.groups + args['group']}"
+            return F.when(x.rlike(p.java), F.when(found != "", found).when(x.rlike(took_part), "")), never
         if args["count"] is None:
             return F.regexp_replace(x, F.lit(p.java), F.lit(regex2.java_replacement(args["replacement"], p.groups))), never
         got = _arrow(name, named, (), _given, parse_type("string"))(x)
@@ -118,7 +120,7 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
             got = _arrow(name, named, (), _given, parse_type(args["as"]))(x)
             return got["v"], got["failed"]
         n = F.when(x.rlike("\\A[+-]?[0-9]+\\z" if low else "\\A\\+?[0-9]+\\z"), x.try_cast("decimal(38,0)"))
-        inside = n.between(low, high)
+        inside = n.between(F.lit(Decimal(low)), F.lit(Decimal(high)))
         return F.when(inside, n).cast(parse_type(args["as"]).spark()), x.isNotNull() & ~F.coalesce(inside, never)
     if name == "parse-float":
         f = F.when(x.rlike("\\A[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\z"), x.try_cast("double"))
@@ -137,21 +139,20 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
         return F.nullif(x, F.lit("")), never
     if name == "coalesce":
         return F.coalesce(x, F.lit(args["value"])), never
-    if name == "url-query":
-        pairs = F.filter(F.split(F.try_parse_url(_absolute(x), F.lit("QUERY")), "&"), lambda p: (p != "") & ~p.contains(";"))
-        named_ = F.filter(pairs, lambda p: _percent_decoded(F.substring_index(p, "=", 1), True) == args["name"])
-        value = F.get(named_, F.lit(args["index"]))
+    if name in ("url-query", "url-path", "path-segment"):
+        path, query, refused = _url(x)
+        if name == "url-path":
+            return kept(_percent_decoded(path, False), refused)
+        if name == "path-segment":
+            # Without a path, what is given is one.
+            parts = F.filter(F.split(F.when(path == "", x).otherwise(path), "/"), lambda p: p != "")
+            i = args["index"]
+            part = F.try_element_at(parts, F.lit(i + 1 if i >= 0 else i))
+            return kept(_percent_decoded(part, False), refused | F.exists(parts, lambda p: p.rlike(urls.BAD_ESCAPE)))
+        pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+        value = F.get(F.filter(pairs, lambda p: _percent_decoded(F.substring_index(p, "=", 1), True) == args["name"]), F.lit(args["index"]))
         raw = F.when(value.contains("="), F.substring(value, F.instr(value, "=") + 1, F.length(value))).when(value.isNotNull(), "")
-        return kept(_percent_decoded(raw, True), _bad_url(x) | F.exists(F.coalesce(pairs, F.array().cast("array<string>")), lambda p: p.rlike("%(?![0-9A-Fa-f]{2})")))
-    if name == "url-path":
-        path = F.coalesce(F.try_parse_url(_absolute(x), F.lit("PATH")), F.lit(""))
-        return kept(F.when(x.isNotNull(), _percent_decoded(path, False)), _bad_url(x) | path.rlike("%(?![0-9A-Fa-f]{2})"))
-    if name == "path-segment":
-        path = F.coalesce(F.try_parse_url(_absolute(x), F.lit("PATH")), F.lit(""))
-        parts = F.filter(F.split(path, "/"), lambda p: p != "")
-        i = args["index"]
-        part = F.try_element_at(parts, F.lit(i + 1 if i >= 0 else i))
-        return kept(_percent_decoded(part, False), _bad_url(x) | part.rlike("%(?![0-9A-Fa-f]{2})"))
+        return kept(_percent_decoded(raw, True), refused | query.contains(";") | query.rlike(urls.BAD_ESCAPE))
     if name == "assert-enum":
         return kept(x, ~x.isin(*positional))
     if name == "assert-min":
@@ -162,13 +163,17 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
     return got["v"], got["failed"]
 
 
-def _absolute(x: Column) -> Column:
-    """Spark's URL parser wants a host to give parts: relative references get one."""
-    return F.when(x.rlike("\\A[A-Za-z][A-Za-z0-9+.-]*:"), x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(F.lit("http://h"), x)).otherwise(F.concat(F.lit("http://h/"), x))
-
-
-def _bad_url(x: Column) -> Column:
-    return x.isNotNull() & (x.rlike("[\\x00-\\x1F\\x7F]") | F.try_parse_url(_absolute(x), F.lit("PROTOCOL")).isNull())
+def _url(x: Column) -> tuple[Column, Column, Column]:
+    """(path, query, refused) of URL references, as ``urls.split`` has them."""
+    part = lambda c, pattern: F.regexp_extract(c, pattern, 1)
+    scheme = x.rlike(rf"\A{urls.SCHEME}")
+    rest = part(x, urls.HIERARCHY)
+    has_authority = rest.startswith("//") & (scheme | ~rest.startswith("///"))
+    authority = part(rest, urls.AUTHORITY)
+    path = F.when(has_authority, part(rest, urls.AFTER_AUTHORITY)).when(rest.startswith("/") | ~scheme, rest).when(x.isNotNull(), "")
+    refused = x.rlike(urls.CONTROL) | x.startswith(":") | (~scheme & ~rest.startswith("/") & rest.rlike(urls.COLON_FIRST))
+    refused = refused | (has_authority & ~(authority.rlike(urls.ALLOWED) & authority.rlike(urls.FORM)))
+    return path, part(x, urls.QUERY), refused | path.rlike(urls.BAD_ESCAPE) | part(x, urls.FRAGMENT).rlike(urls.BAD_ESCAPE)
 
 
 @functools.lru_cache(1)

@@ -19,19 +19,22 @@ from webloom.plans.selector import Compound, parse_selector
 
 _COLUMNS = [
     ("pre", T.IntegerType()), ("post", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("tag", T.StringType()), ("attrs", T.MapType(T.StringType(), T.StringType())),
-    ("elem_idx", T.IntegerType()), ("elem_count", T.IntegerType()), ("type_idx", T.IntegerType()), ("type_count", T.IntegerType()), ("is_empty", T.BooleanType()), ("text", T.StringType()),
+    ("page", T.LongType()), ("elem_idx", T.IntegerType()), ("elem_count", T.IntegerType()), ("type_idx", T.IntegerType()), ("type_count", T.IntegerType()), ("is_empty", T.BooleanType()), ("text", T.StringType()),
 ]
 
 
 def dom_nodes(df: DataFrame, key: str = "page_id", html: str = "html", *, text: bool = True) -> DataFrame:
-    """(key, pre, post, parent, depth, tag, attrs, places, is_empty, text) of every element; ``parent`` is 0
-    below the document. Without ``text`` that column is null: every element's text holds its descendants'."""
+    """(key, pre, post, parent, depth, tag, attrs, page, places, is_empty, text) of every element; ``parent`` is 0
+    below the document, ``page`` is the number of the page's row, so pages without key or with one key stay apart. Without
+    ``text`` that column is null: every element's text holds its descendants'. Null HTML has no elements."""
+    if key in dict(_COLUMNS):
+        raise ValueError(f"the key has the name of a result, rename it first: {key}")
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(n, t) for n, t in _COLUMNS]])
     arrow = to_arrow_schema(schema)
 
     def shred(batches):
         for batch in batches:
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, number, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if page is None:
                     continue
                 rows = []
@@ -45,14 +48,37 @@ def dom_nodes(df: DataFrame, key: str = "page_id", html: str = "html", *, text:
                         at[id(n)][2] = post
                         continue
                     pre += 1
-                    row = [k, pre, 0, parent, depth, n.tag, list(n.attrs.items()), n.index, n.count, n.type_index, n.type_count, n.is_empty(), n.text_content() if text else None]
+                    row = [k, pre, 0, parent, depth, n.tag, list(n.attrs.items()), number, n.index, n.count, n.type_index, n.type_count, n.is_empty(), n.text_content() if text else None]
                     at[id(n)] = row
                     rows.append(row)
                     stack.append((n, parent, depth, True))
                     stack += [(c, pre, depth + 1, False) for c in reversed(n.children) if c.kind == ELEMENT]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{html}`")).mapInArrow(shred, schema)
+    return df.select(F.col(f"`{key}`"), F.monotonically_increasing_id(), F.col(f"`{html}`")).mapInArrow(shred, schema)
+
+
+def page_matches(df: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, selector, n): for each page and name in ``selectors`` how many elements match. Every selector is answered where
+    the page lies, in one parse and without a shuffle; ``select_nodes`` is for tables of nodes. Null HTML has none."""
+    if key in ("selector", "n"):
+        raise ValueError(f"the key has the name of a result, rename it first: {key}")
+    parsed = {name: parse_selector(s) for name, s in selectors.items()}
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("selector", T.StringType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def match(batches):
+        for batch in batches:
+            keys, names, counts = [], [], []
+            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tree = parse(page) if page is not None else None
+                for name, s in parsed.items():
+                    keys.append(k)
+                    names.append(name)
+                    counts.append(len(s.query(tree)) if tree is not None else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, names, counts), arrow, strict=True)], schema=arrow)
+
+    return df.select(F.col(f"`{key}`"), F.col(f"`{html}`")).mapInArrow(match, schema)
 
 
 def _words(c: Column) -> Column:
@@ -91,15 +117,15 @@ def predicate(c: Compound) -> Column:
     return out
 
 
-def select_nodes(nodes: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
+def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
     """The rows of ``nodes`` that match, each once."""
     found = None
     for chain in parse_selector(selector).chains:
         left = nodes.where(predicate(chain[0][1]))
         for combinator, compound in chain[1:]:
             b = nodes.where(predicate(compound)).alias("b")
-            a = left.select(key, "pre", "post", "parent", "elem_idx").distinct().alias("a")
-            same = F.col(f"a.{key}") == F.col(f"b.{key}")
+            a = left.select("page", "pre", "post", "parent", "elem_idx").distinct().alias("a")
+            same = F.col("a.page") == F.col("b.page")
             siblings = same & (F.col("a.parent") == F.col("b.parent"))
             on = {
                 ">": same & (F.col("a.pre") == F.col("b.parent")),
@@ -109,4 +135,4 @@ def select_nodes(nodes: DataFrame, selector: str, key: str = "page_id") -> DataF
             }[combinator]
             left = b.join(a, on, "left_semi")
         found = left if found is None else found.unionByName(left)
-    return found.dropDuplicates([key, "pre"])
+    return found.dropDuplicates(["page", "pre"])

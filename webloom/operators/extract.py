@@ -47,34 +47,59 @@ def extractor(program: Program, externals: Mapping[str, Callable] | None = None)
     return F.arrow_udf(rows, schema).asNondeterministic()
 
 
-def extract(
-    program: Program, df: DataFrame, html: str = "html", *, where: Column | str | None = None, keep: tuple[str, ...] | None = None, externals: Mapping[str, Callable] | None = None, errors: str = "column"
-) -> DataFrame:
-    """``keep``'s columns (all but the HTML by default) and value, warnings, partial, error. With ``errors``
-    "raise" a record's error fails the job. Columns named like the results need another name first."""
+def _distinct(kept: list[str], others: list[str]) -> None:
+    """Results of one name would be ambiguous for whoever reads them."""
+    seen = {c.lower() for c in others}
+    twice = [c for c in kept if c.lower() in seen]
+    if twice:
+        raise ValueError(f"kept columns have names of results, rename them first: {', '.join(twice)}")
+
+
+def _extracted(program: Program, df: DataFrame, html: str, where: Column | str | None, keep: tuple[str, ...] | None, externals: Mapping[str, Callable] | None, errors: str) -> tuple[DataFrame, list[str]]:
+    """(``kept`` and ``got``, a struct each, so that their members can't clash; the names of what is kept)."""
     if where is not None:
         df = df.where(where)
     kept = [c for c in df.columns if c != html] if keep is None else list(keep)
-    out = df.select(*[F.col(f"`{c}`") for c in kept], extractor(program, externals)(F.col(f"`{html}`")).alias("_got"))
-    out = out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"_got.{n}").alias(n) for n in program.result_schema.names])
+    inside = F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(None).alias("none")])
+    out = df.select(inside.alias("kept"), extractor(program, externals)(F.col(f"`{html}`")).alias("got"))
     if errors == "raise":
-        message = F.concat(F.col("error.code"), F.lit(" at "), F.coalesce(F.col("error.path"), F.lit("")), F.lit(": "), F.col("error.message"))
-        out = out.withColumn("partial", F.when(F.col("error").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.col("partial")))
-    return out
+        message = F.concat(F.col("got.error.code"), F.lit(" at "), F.coalesce(F.col("got.error.path"), F.lit("")), F.lit(": "), F.col("got.error.message"))
+        checked = F.when(F.col("got.error").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.col("got.partial"))
+        out = out.withColumn("got", F.col("got").withField("partial", checked))
+    return out, kept
 
 
-def fields(program: Program, df: DataFrame, html: str = "html", **options) -> DataFrame:
-    """The kept columns and one column for each output member; failed records are left out."""
-    out = extract(program, df, html, **options)
-    kept = [c for c in out.columns if c not in program.result_schema.names]
-    return out.where("error is null").select(*[F.col(f"`{c}`") for c in kept], "value.*")
+def _members(struct: str, names: list[str]) -> list[Column]:
+    return [F.col(f"{struct}.`{n}`").alias(n) for n in names]
 
 
-def rows(program: Program, df: DataFrame, collection: str, html: str = "html", **options) -> DataFrame:
-    """One row for each of a top-level collection's items: the kept columns, ``pos`` from 0, and its members."""
-    out = extract(program, df, html, **options)
-    kept = [c for c in out.columns if c not in program.result_schema.names]
-    return out.where("error is null").select(*[F.col(f"`{c}`") for c in kept], F.posexplode(F.col(f"value.{collection}")).alias("pos", "_item")).select(*[F.col(f"`{c}`") for c in kept], "pos", "_item.*")
+def extract(
+    program: Program, df: DataFrame, html: str = "html", *, where: Column | str | None = None, keep: tuple[str, ...] | None = None, externals: Mapping[str, Callable] | None = None, errors: str = "column"
+) -> DataFrame:
+    """``keep``'s columns (all but the HTML by default) and value, warnings, partial, error. With ``errors``
+    "raise" a record's error fails the job. A kept column with a result's name is refused."""
+    out, kept = _extracted(program, df, html, where, keep, externals, errors)
+    _distinct(kept, program.result_schema.names)
+    return out.select(*_members("kept", kept), *_members("got", program.result_schema.names))
+
+
+def fields(program: Program, df: DataFrame, html: str = "html", *, where: Column | str | None = None, keep: tuple[str, ...] | None = None, externals: Mapping[str, Callable] | None = None, errors: str = "column") -> DataFrame:
+    """The kept columns and one column for each output member; failed records are left out. A kept column with a member's
+    name is refused."""
+    out, kept = _extracted(program, df, html, where, keep, externals, errors)
+    members = program.schema.names
+    _distinct(kept, members)
+    return out.where("got.error is null and got is not null").select(*_members("kept", kept), *_members("got.value", members))
+
+
+def rows(program: Program, df: DataFrame, collection: str, html: str = "html", *, where: Column | str | None = None, keep: tuple[str, ...] | None = None, externals: Mapping[str, Callable] | None = None, errors: str = "column") -> DataFrame:
+    """One row for each of a top-level collection's items: the kept columns, ``pos`` from 0, and its members. A kept column
+    with the name of one of these is refused."""
+    out, kept = _extracted(program, df, html, where, keep, externals, errors)
+    members = program.schema[collection].dataType.elementType.names
+    _distinct(kept, ["pos", *members])
+    out = out.where("got.error is null").select("kept", F.posexplode(F.col(f"got.value.`{collection}`")).alias("pos", "item"))
+    return out.select(*_members("kept", kept), "pos", *_members("item", members))
 
 
 def decode(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:

@@ -5,6 +5,9 @@ Extraction never fetches; a program runs over what this stage has stored, as oft
 
 from __future__ import annotations
 
+import functools
+import http.client
+import socket
 import urllib.error
 import urllib.request
 from collections.abc import Callable
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from webloom.plans.diagnostics import ExecutionError
 from webloom.plans.program import Program
-from webloom.sources.urls import public_internet
+from webloom.sources.urls import public_address, public_internet
 
 SCHEMA = "url string, status int, content_type string, body binary, code string, message string"
 
@@ -32,7 +35,61 @@ class Options:
     timeout: float = 30.0
     max_bytes: int = 32 << 20
     user_agent: str = "webloom"
-    policy: Callable[[str], str | None] = public_internet
+    policy: Callable[[str], str | None] | None = public_internet
+    #: Asked about every address that a host's name has, and about the one that is connected to; None without ``policy``.
+    address_policy: Callable[[str], str | None] | None = public_address
+
+
+def guarded_connection(address_policy: Callable[[str], str | None], address: tuple[str, int], timeout: float | None = None, source_address: tuple[str, int] | None = None, **_) -> socket.socket:
+    """A connection to one of the host's addresses, all of which are checked first: the name isn't resolved again between
+    the check and the connection."""
+    host, port = address
+    found = socket.getaddrinfo(host, port, 0, socket.SOCK_STREAM)
+    for *_ignored, (ip, *_rest) in found:
+        why = address_policy(ip)
+        if why:
+            raise ExecutionError("E_URL_POLICY", f"{host} is {ip}: {why}")
+    last: OSError = OSError(f"{host} has no address")
+    for family, kind, protocol, _name, target in found:
+        s = socket.socket(family, kind, protocol)
+        try:
+            if isinstance(timeout, (int, float)):
+                s.settimeout(timeout)
+            if source_address:
+                s.bind(source_address)
+            s.connect(target)
+            return s
+        except OSError as e:
+            s.close()
+            last = e
+    raise last
+
+
+def _guarded(kind: type, connect: Callable) -> Callable:
+    def make(host, **options):
+        connection = kind(host, **options)
+        connection._create_connection = connect
+        return connection
+
+    return make
+
+
+class _Http(urllib.request.HTTPHandler):
+    def __init__(self, connect):
+        super().__init__()
+        self.connect = connect
+
+    def http_open(self, req):
+        return self.do_open(_guarded(http.client.HTTPConnection, self.connect), req)
+
+
+class _Https(urllib.request.HTTPSHandler):
+    def __init__(self, connect):
+        super().__init__()
+        self.connect = connect
+
+    def https_open(self, req):
+        return self.do_open(_guarded(http.client.HTTPSConnection, self.connect), req, context=self._context)
 
 
 class _Redirects(urllib.request.HTTPRedirectHandler):
@@ -65,7 +122,12 @@ def fetch_one(url: str, session: Session | None = None, options: Options = Optio
         headers |= dict(sorted(session.headers.items()))
         if session.cookies:
             headers["Cookie"] = "; ".join(f"{k}={v}" for k, v in session.cookies.items())
-    opener = opener or urllib.request.build_opener(urllib.request.ProxyHandler({}), _Redirects(options.policy or (lambda _: None)))
+    if opener is None:
+        handlers = [urllib.request.ProxyHandler({}), _Redirects(options.policy or (lambda _: None))]
+        if options.policy and options.address_policy:
+            connect = functools.partial(guarded_connection, options.address_policy)
+            handlers += [_Http(connect), _Https(connect)]
+        opener = urllib.request.build_opener(*handlers)
     try:
         request = urllib.request.Request(url, headers=headers)
     except ValueError as e:

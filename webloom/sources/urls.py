@@ -85,9 +85,20 @@ _PRIVATE = [
 _GLOBAL = [ipaddress.ip_network(n) for n in ("192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28", "64:ff9b::/96")]
 
 
+def public_address(text: str) -> str | None:
+    """Why an address may not be connected to, or None: it isn't one, or isn't global."""
+    try:
+        address = ipaddress.ip_address(text.split("%")[0])
+    except ValueError:
+        return "not an address"
+    address = getattr(address, "ipv4_mapped", None) or address
+    inside = lambda nets: any(address in n for n in nets if n.version == address.version)
+    return "address is not global" if inside(_PRIVATE) and not inside(_GLOBAL) else None
+
+
 def public_internet(url: str) -> str | None:
     """Why a URL may not be fetched, or None: http or https, no user, and no address that isn't global.
-    Names are for the fetcher to resolve and check when it connects."""
+    The addresses that a name has are checked by the fetcher when it connects (``public_address``)."""
     try:
         parts = urlsplit(url)
         host = parts.hostname
@@ -102,13 +113,8 @@ def public_internet(url: str) -> str | None:
         return "URL has no host"
     if host == "localhost" or host.endswith(".localhost"):
         return "host is local"
-    try:
-        address = ipaddress.ip_address(host.split("%")[0])
-    except ValueError:
-        return None
-    address = getattr(address, "ipv4_mapped", None) or address
-    inside = lambda nets: any(address in n for n in nets if n.version == address.version)
-    return "address is not global" if inside(_PRIVATE) and not inside(_GLOBAL) else None
+    why = public_address(host)
+    return None if why == "not an address" else why
 
 
 def public_internet_column(url: Column) -> Column:
