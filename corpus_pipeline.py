@@ -1,6 +1,13 @@
 """From documents to token ids: language ID, line dedup, near-dedup, decontamination, SentencePiece.
 
 Each stage reads all that its predecessor kept and, but for the last, returns the columns of ``documents``.
+
+Defined results of every stage: null keys, languages, sources and sizes are carried along as they are; extra columns aren't
+read, whatever their names; repeated rows are rows of their own; an empty table gives an empty one; very long texts are
+treated whole. Language ID drops null texts and those without a letter, of equal probabilities it takes the label first in
+order; line dedup keeps null and empty texts and of equal passages the first by key, row and place; near-dedup keeps every
+text without a word, and of a group the row with the smallest key, then the first; decontamination keeps texts without a
+word; encoding gives null and empty texts no ids.
 """
 
 from __future__ import annotations
