@@ -14,6 +14,9 @@ def connected(edges: DataFrame, path: str) -> DataFrame:
     In each round every root joins its smallest neighbour that is smaller than itself, chains are shortened
     by pointer jumping, and edges are renamed to roots; at most half the roots of a component are left. Each
     round is written to ``path``: nothing is gathered on the driver, and lost executors cost only a round.
+
+    Edges in either direction, repeated or from a node to itself are the same; one with a null end is none; nodes without an
+    edge to another don't come back; an empty table gives none.
     """
     at = iter(range(10**6))
 

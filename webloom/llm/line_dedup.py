@@ -15,7 +15,8 @@ Joins are sort-merge joins at every size, so plans and what they move don't chan
 Work moves hashes, not texts: chunks and windows are counted by hash with partial sums, only rows with a repeated
 one are looked up again, and only repeated ones' bytes are sent to be compared.
 
-Defined results: null stays null with no lines; a text in which nothing repeats comes back as it was; a
+Defined results: a very long text is cut into lines whole, in one task; of equal passages the first stays by key, row and
+place, so there are no ties; null stays null with no lines; a text in which nothing repeats comes back as it was; a
 text may become empty; repeated rows keep the lines of the first of them; ``n_removed_chunks`` counts the chunks
 removed or, with passages, the runs of lines removed; an empty table gives none; other
 columns come back only if named in ``keep``, inside one struct, so their names never clash.

@@ -230,7 +230,7 @@ def near_duplicates(
     centres = _store.written(centres, f"{path}/centres")
     members = _store.written(sole.join(centres.hint("merge"), "band").select("centre", "row", "size").distinct(), f"{path}/members")
     share = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_bytes)).cast("int")
-    sizes = members.groupBy("centre").agg(share.alias("k"))
+    sizes = _store.written(members.groupBy("centre").agg(share.alias("k")), f"{path}/sizes")
     members = _store.written(members.join(sizes.hint("merge"), "centre").withColumn("block", F.pmod(F.xxhash64("row"), F.col("k")).cast("int")).drop("size"), f"{path}/dealt")
     bodies = table.select("row", "n", "registers", "z").hint("merge")
     # First every block with the centre, which stands for the group; a block of its own if the group has one only.
@@ -271,9 +271,9 @@ def near_duplicates(
     first = _store.written(met.groupBy("centre", "block", "other").applyInArrow(compare, schema), f"{path}/first")
     # Then those that stay apart with all members of the other blocks, in chunks as large as a block.
     apart = first.where("a is null").select("centre", F.col("b").alias("row"), F.col("block").alias("own"))
-    chunks = apart.groupBy("centre").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m"))
+    chunks = _store.written(apart.groupBy("centre").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m")), f"{path}/chunks")
     apart = _store.written(apart.join(chunks.hint("merge"), "centre").withColumn("other", F.pmod(F.xxhash64("row", F.lit(1)), F.col("m")).cast("int")), f"{path}/apart")
-    blocks_of = members.groupBy("centre").agg(F.first("k").alias("k")).where("k > 1")
+    blocks_of = sizes.where("k > 1")
     theirs = apart.join(blocks_of.hint("merge"), "centre").select("centre", "row", "k", "own", "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block")).where("block <> own").drop("own")
     asked = members.join(chunks.hint("merge"), "centre").select("centre", "row", "k", "block", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
     met = asked.unionByName(theirs.select(asked.columns)).distinct().join(bodies, "row")
@@ -299,7 +299,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 with recursive d as (select doc_id, row_number() over () as rid,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select distinct rid, hash(array_to_string(w[i + 1 : i + 4], ' ')) as h from (select rid, w, unnest(range(0, greatest(len(w) - 3, 1))) as i from d where len(w) > 0)),
+s as (select distinct rid, array_to_string(w[i + 1 : i + 4], ' ') as h from (select rid, w, unnest(range(0, greatest(len(w) - 3, 1))) as i from d where len(w) > 0)),
 n as (select rid, count(*) as n from s group by rid),
 p as (select a.rid as x, b.rid as y, count(*) as c from s a join s b on a.h = b.h and a.rid <> b.rid group by all),
 l as (select x, y from p join n nx on nx.rid = x join n ny on ny.rid = y where 100 * c >= 80 * (nx.n + ny.n - c)),

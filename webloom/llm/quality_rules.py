@@ -2,9 +2,10 @@
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one bit per failed rule;
 policies, which are versioned sets of bits, and ablations are bitwise operations on the ledger and never
-look at texts again. No stage shuffles: a document's figures come from its own row.
+look at texts again, once it is stored (``write_ledger``). No stage shuffles: a document's figures come from its own row.
 
-Defined results: null text has no words, and so fails the base rule on length; repeated rows give repeated
+Defined results: null text has no words, and so fails the base rule on length; a very long text is measured whole, in
+one row; of equal lines and windows the first counts as the original, whichever it is; repeated rows give repeated
 results; an empty table gives none; a null key stays null; no other column is read.
 """
 
@@ -116,10 +117,17 @@ def ledger(measurements: DataFrame, rules=RULES) -> DataFrame:
     return measurements.withColumn("failed", mask)
 
 
+def write_ledger(led: DataFrame, path: str) -> DataFrame:
+    """The ledger as a table below ``path``, for policies and ablations to come."""
+    led.write.mode("overwrite").parquet(path)
+    return led.sparkSession.read.schema(led.schema).parquet(path)
+
+
 def with_policy(led: DataFrame, policy: str = "v1", policies=POLICIES) -> DataFrame:
-    """``base_failed`` and ``kept`` under a version of the policy. What fails the base rules is never kept."""
+    """``base_failed`` and ``kept`` under a version of the policy, and that version. What fails the base rules is never
+    kept."""
     return led.withColumns(
-        {"base_failed": F.col("failed").bitwiseAND(F.lit(BASE_MASK)) != 0, "kept": F.col("failed").bitwiseAND(F.lit(policies[policy] | BASE_MASK)) == 0}
+        {"policy": F.lit(policy), "base_failed": F.col("failed").bitwiseAND(F.lit(BASE_MASK)) != 0, "kept": F.col("failed").bitwiseAND(F.lit(policies[policy] | BASE_MASK)) == 0}
     )
 
 
@@ -140,7 +148,7 @@ def ablations(led: DataFrame, policy: str = "v1", rules=RULES, policies=POLICIES
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     led = with_policy(ledger(measured(docs)))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
 
 
 
@@ -168,5 +176,5 @@ f as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_re
     + case when word_chars < 2 * n_words or word_chars > 20 * n_words then 16 else 0 end
     + case when 10 * n_letters < 6 * word_chars then 32 else 0 end + case when 10 * n_upper > 6 * word_chars then 64 else 0 end
     + case when 10 * n_marks > 5 * n_words then 128 else 0 end)::bigint as failed from l)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from f
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed, 'v1' as policy from f
 """
