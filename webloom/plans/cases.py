@@ -10,6 +10,7 @@ from webloom.html.tree import parse
 from webloom.operators import browser
 from webloom.operators.extract import decode, extract, fields, sink_json
 from webloom.plans import portfolio as base
+from webloom.plans.authoring import ExtractorBuilder, Members
 from webloom.plans.compiler import compile_text
 from webloom.plans.diagnostics import ExecutionError
 from webloom.plans.selector import parse_selector
@@ -372,3 +373,65 @@ def _live_gate(spark, sf_dir):
 @query("live_cardinality", f"select page_id, case when {_LINKS} > 1 then 'E_SELECTOR_CARDINALITY' end as code from pages")
 def _live_cardinality(spark, sf_dir):
     return _live(spark, sf_dir, 'field "x" type="string" required=#true { select "nav a"; value "text" }').select("page_id", "error.code")
+
+
+# -- writing programs, and what is decided before a page is read -------------------------------------------
+
+
+@query("kdl_writing", f"select page_id, {TITLE} as title, case {LANG} when 'en' then 'say \"hi\"' else 'other' end as greeting, {_LINKS}::bigint as n from pages")
+def _writing(spark, sf_dir):
+    b = ExtractorBuilder("made", "https://example.invalid/{page_id}").input("page_id", "int")
+    b.pipeline("clean", "string", "string", ["normalize-whitespace", ("replace", [], {"old": "\u0000", "new": ""})]).match("greet", "string", "string", {"en": 'say "hi"'}, "other")
+    b.field("title", "string", "title", required=True, apply=["clean"]).field("greeting", "string", "html", attr="lang", required=True, apply=["greet"])
+    b.collection("links", "nav li", Members().field("href", "string", "a", attr="href"), min_items=1)
+    return fields(compile_text(b.text()), table(spark, sf_dir, "pages"), keep=("page_id",)).select("page_id", "title", "greeting", F.size("links").cast("long").alias("n"))
+
+
+@query("transforms_unused", "select n_nationkey, 'browser.navigate,browser.query,browser.read-text,transform.external:nobody' as capabilities, 'E_EXTERNAL_TRANSFORM_MISSING' as code from nation")
+def _unused(spark, sf_dir):
+    # An external that nothing refers to still needs its host.
+    text = _HEAD.replace('"http"', '"browser"') + 'transform "unused" input="string" output="string" { external symbol="nobody" }\n' + _FIELD + "\n}"
+    try:
+        extract(compile_text(text), table(spark, sf_dir, "pages"))
+        code = None
+    except ExecutionError as e:
+        code = e.code
+    df = table(spark, sf_dir, "nation").select("n_nationkey", F.lit(text).alias("source"))
+    found = compile_documents(df, "n_nationkey")
+    return found.select("n_nationkey", F.array_join(F.from_json(F.get_json_object("ir", "$.capabilities"), "array<string>"), ",").alias("capabilities"), F.lit(code).alias("code"))
+
+
+@query("snapshot_of_browser_program", f"select page_id, {TITLE} as title from pages")
+def _snapshot(spark, sf_dir):
+    text = _HEAD.replace('"http"', '"browser"') + _TITLE_FIELD + "\n}"
+    return fields(compile_text(text), table(spark, sf_dir, "pages"), keep=("page_id",))
+
+
+@query("snapshot_gate", "select n_nationkey, case n_nationkey % 3 when 0 then 'E_SNAPSHOT_UNSUPPORTED at source.workflow' when 1 then 'E_SNAPSHOT_UNSUPPORTED at output.x' else 'none' end as refused from nation")
+def _gate(spark, sf_dir):
+    script = 'field "x" type="int" required=#true { evaluate-js "links" scope="document" returns="int" }'
+    head = _HEAD.replace('"http"', '"browser"')
+    texts = (head.replace("/\" }", "/\"; workflow { click \".go\" } }") + _FIELD + "\n}", head + script + "\n}", head + _FIELD + "\n}")
+
+    def refused(text: str) -> str:
+        try:
+            extract(compile_text(text), table(spark, sf_dir, "pages"))
+        except ExecutionError as e:
+            return f"{e.code} at {e.path}"
+        return "none"
+
+    said = F.array(*[F.lit(refused(t)) for t in texts])
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(said, F.col("n_nationkey") % 3 + 1).alias("refused"))
+
+
+@query("session_policy", "select n_nationkey, case n_nationkey % 6 when 0 then 'none' when 1 then 'none' when 2 then 'none' when 3 then 'given' when 4 then 'E_SESSION_REQUIRED' else 'given' end as got from nation")
+def _session(spark, sf_dir):
+    def passed(policy: str, given: fetch.Session | None) -> str:
+        p = compile_text(_HEAD.replace('/" }', f'/"; session policy="{policy}" }}') + _FIELD + "\n}")
+        try:
+            return "none" if fetch.session_for(p, given) is None else "given"
+        except ExecutionError as e:
+            return e.code
+
+    said = F.array(*[F.lit(passed(policy, given)) for policy in ("none", "optional", "required") for given in (None, fetch.Session(headers={"A": "b"}))])
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(said, F.col("n_nationkey") % 6 + 1).alias("got"))
