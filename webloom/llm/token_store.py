@@ -104,6 +104,9 @@ _KIND = np.full(256, _SIGN, np.uint8)
 _KIND[65:91] = _KIND[97:123] = _KIND[128:] = _LETTER
 _KIND[48:58] = _NUMBER
 _KIND[9:14] = _KIND[32] = _SPACE
+#: Bytes of separators and of characters beyond ASCII.
+_ODD = np.zeros(256, bool)
+_ODD[0x1C:0x20] = _ODD[0x80:] = True
 #: Parts encoded at once.
 _JOINED = 256
 _QUOTED = {b"s": 1, b"t": 1, b"re": 2, b"ve": 2, b"m": 1, b"ll": 2, b"d": 1}
@@ -174,16 +177,16 @@ class Coder:
     @staticmethod
     def _others(block: _text.Block) -> np.ndarray:
         """Whether each text has characters outside ASCII and Latin-1 letters, separators, or the beginning of an added token."""
-        b = block.buf
-        odd = (b >= 0x1C) & (b <= 0x1F) | (b >= 0x80)
-        if len(b) > 1:
-            lead = b[:-1] == 0xC3
-            letter = lead & (b[1:] != 0x97) & (b[1:] != 0xB7)
-            odd[:-1] &= ~letter
-            odd[1:] &= ~letter
-            odd[:-1] |= (b[:-1] == 60) & (b[1:] == 124)
-        seen = np.concatenate([[0], np.cumsum(odd)])
-        return seen[block.offs[1:]] > seen[block.offs[:-1]]
+        b, n = block.buf, len(block.buf)
+        place = np.flatnonzero(_ODD[b])
+        after = b[np.minimum(place + 1, n - 1)] if n else b
+        letter = (b[place] == 0xC3) & (place + 1 < n) & (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)
+        fine = letter.copy()
+        fine[1:] |= letter[:-1]
+        angle = np.flatnonzero(b == 60)
+        angle = angle[angle + 1 < n]
+        odd = np.sort(np.concatenate([place[~fine], angle[b[angle + 1] == 124]]))
+        return np.diff(np.searchsorted(odd, block.offs)) > 0
 
     def _parts_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of distinct parts. Those that begin with a space before another character stay parts when
@@ -327,13 +330,19 @@ def write_store(
             for r in rows:
                 if r["kind"] == "recipe":
                     continue
-                sizes = np.frombuffer(r["sizes"], "<u4")
-                body = unpack.decompress(r["body"])
-                ends = np.cumsum(sizes.astype(np.int64)) * (len(body) // int(sizes.sum()))
-                new = [(d, s, body[e - len(body) // int(sizes.sum()) * s : e]) for i, (s, e) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)) if (d := r["digests"][i * DIGEST : (i + 1) * DIGEST]) not in seen]
-                seen.update(d for d, _, _ in new)
-                if new:
-                    out.append(r | {"digests": b"".join(d for d, _, _ in new), "sizes": np.array([s for _, s, _ in new], "<u4").tobytes(), "body": pack.compress(b"".join(c for _, _, c in new))})
+                digests = r["digests"]
+                names = [digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)]
+                new = [i for i, d in enumerate(names) if d not in seen]
+                seen.update(names)
+                if len(new) == len(names):
+                    out.append(r)
+                elif new:
+                    sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
+                    body = unpack.decompress(r["body"])
+                    width = len(body) // int(sizes.sum())
+                    ends = (np.cumsum(sizes) * width).tolist()
+                    kept = b"".join([body[ends[i] - width * int(sizes[i]) : ends[i]] for i in new])
+                    out.append(r | {"digests": b"".join([names[i] for i in new]), "sizes": sizes[new].astype("<u4").tobytes(), "body": pack.compress(kept)})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     picked = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -431,17 +440,18 @@ def store_root(spark: SparkSession, path: str) -> str:
 
 
 def _unpacked(r: dict):
+    """(digest, how many ids, their bytes as little-endian 32-bit integers) of each chunk of a row, checked."""
     sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
     body = zstandard.ZstdDecompressor().decompress(r["body"])
     width = len(body) // int(sizes.sum())
-    at = 0
+    wide = memoryview(np.frombuffer(body, f"<u{width}").astype("<u4").tobytes())
+    at, digests = 0, r["digests"]
     for i, s in enumerate(sizes.tolist()):
-        chunk = body[at : at + s * width]
-        at += s * width
-        name = r["digests"][i * DIGEST : (i + 1) * DIGEST]
-        if _digest(chunk) != name:
+        name = digests[i * DIGEST : (i + 1) * DIGEST]
+        if _digest(body[at * width : (at + s) * width]) != name:
             raise CorruptStore(f"chunk {name.hex()} doesn't have its digest")
-        yield name, s, np.frombuffer(chunk, f"<u{width}")
+        yield name, s, wide[4 * at : 4 * (at + s)]
+        at += s
 
 
 def _agrees(n: np.ndarray, local: np.ndarray, roots: list[bytes], told: dict | None) -> bool:
@@ -458,7 +468,7 @@ def document_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     def sums(batches):
         for b in batches:
-            rows = [(d, s, zlib.crc32(ids.astype("<u4").tobytes())) for r in b.to_pylist() for d, s, ids in _unpacked(r)]
+            rows = [(d, s, zlib.crc32(ids)) for r in b.to_pylist() for d, s, ids in _unpacked(r)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["digest", "size", "crc"])
 
     crcs = _chunks(spark, path).select("digests", "sizes", "body").mapInArrow(sums, "digest binary, size int, crc long")
@@ -511,7 +521,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def bodies(batches):
         for b in batches:
-            rows = [(d, ids.astype("<i4")) for r in b.to_pylist() for d, _, ids in _unpacked(r)]
+            rows = [(d, np.frombuffer(ids, "<i4")) for r in b.to_pylist() for d, _, ids in _unpacked(r)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["digest", "ids"])
 
     chunks = _chunks(spark, path).select("digests", "sizes", "body").mapInArrow(bodies, "digest binary, ids array<int>")
