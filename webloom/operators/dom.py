@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.html.node import ELEMENT
 from webloom.html.tree import parse
+from webloom.operators.spread import spread
 from webloom.plans.selector import Compound, parse_selector
 
 _COLUMNS = [
@@ -55,7 +56,7 @@ def dom_nodes(df: DataFrame, key: str = "page_id", html: str = "html", *, text:
                     stack += [(c, pre, depth + 1, False) for c in reversed(n.children) if c.kind == ELEMENT]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return df.select(F.col(f"`{key}`"), F.monotonically_increasing_id(), F.col(f"`{html}`")).mapInArrow(shred, schema)
+    return spread(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{html}`").alias("h"))).select("k", F.monotonically_increasing_id(), "h").mapInArrow(shred, schema)
 
 
 def page_matches(df: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
@@ -78,7 +79,7 @@ def page_matches(df: DataFrame, selectors: dict[str, str], key: str = "page_id",
                     counts.append(len(s.query(tree)) if tree is not None else 0)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, names, counts), arrow, strict=True)], schema=arrow)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{html}`")).mapInArrow(match, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{html}`"))).mapInArrow(match, schema)
 
 
 def _words(c: Column) -> Column:

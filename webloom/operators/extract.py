@@ -3,7 +3,8 @@
 A page is parsed and evaluated in one scalar Arrow function, so the scan reads only the columns that are
 used and each page is parsed once. The function is marked as not deterministic: a filter on its result then
 can't make Spark evaluate it twice. Filters on other columns are best given as ``where``, which is applied
-before. Nothing is shuffled; filtering, joining and counting what comes out are ordinary Spark operations.
+before. Nothing is shuffled, but for a small table in a few files, which is dealt to all cores first (``spread``);
+filtering, joining and counting what comes out are ordinary Spark operations.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from webloom.operators import runtime
+from webloom.operators.spread import spread
 from webloom.plans.diagnostics import ExecutionError
 from webloom.plans.program import Program
 
@@ -60,6 +62,7 @@ def _extracted(program: Program, df: DataFrame, html: str, where: Column | str |
     if where is not None:
         df = df.where(where)
     kept = [c for c in df.columns if c != html] if keep is None else list(keep)
+    df = spread(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, html])]))
     inside = F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(None).alias("none")])
     out = df.select(inside.alias("kept"), extractor(program, externals)(F.col(f"`{html}`")).alias("got"))
     if errors == "raise":
