@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.spread import spread
+
 BLOCK_BYTES = 1 << 20
 
 _U64 = np.uint64
@@ -87,7 +89,7 @@ def map_blocks(
     schema: str,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Apply ``work`` to blocks of ``df``. ``columns`` maps a block's column names to those of ``df``; the
+    """Apply ``work`` to blocks of ``df``, which is dealt to all cores first if it is a small table in a few files. ``columns`` maps a block's column names to those of ``df``; the
     one called ``text`` makes up the blocks. ``work`` gives a list or array for each column of ``schema``."""
     picked = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -109,7 +111,7 @@ def map_blocks(
                     schema=arrow,
                 )
 
-    return picked.mapInArrow(run, fields)
+    return spread(picked).mapInArrow(run, fields)
 
 
 def release() -> None:

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.operators.spread import spread
+
 #: White space of words, as a class of a regular expression.
 _SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -23,7 +25,7 @@ _SPACE = r"[ \t\n\x0B\f\r]"
 def measured(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letters, n_upper,
     n_marks): one row per document."""
-    base = df.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    base = spread(df.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")))
     base = base.withColumns(
         {
             "_words": F.array_remove(F.split("_text", _SPACE + "+"), ""),
