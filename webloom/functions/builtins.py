@@ -13,7 +13,8 @@ from webloom.plans.types import BOOL, FLOATS, INTEGERS, STRING, Type, assignable
 
 #: Unicode's White_Space characters (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUNS = re.compile(f"[{WHITE}]+")
+#: Runs of white space that aren't a single space.
+_RUNS = re.compile(f"[{WHITE.replace(' ', '')}][{WHITE}]*+| [{WHITE}]++")
 
 
 class BuiltinError(ValueError):

@@ -23,6 +23,8 @@ from webloom.plans.types import INTEGERS, Type, parse_type
 
 _WHITE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE) + "]"
 
+_WHITE_BUT_SPACE = _WHITE.replace("\\x{20}", "")
+
 
 def _arrow(name: str, named: dict, positional: tuple, given: str, gives: Type):
     """(value, failed) by the Python form of a built-in, in Arrow batches."""
@@ -59,7 +61,8 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
     if name == "trim":
         return F.btrim(x, F.lit("".join(WHITE))), never
     if name == "normalize-whitespace":
-        return F.btrim(F.regexp_replace(x, F.lit(f"{_WHITE}+"), F.lit(" ")), F.lit(" ")), never
+        # A single space stays as it is: only other runs are replaced.
+        return F.btrim(F.regexp_replace(x, F.lit(f"{_WHITE_BUT_SPACE}{_WHITE}*+| {_WHITE}++"), F.lit(" ")), F.lit(" ")), never
     if name == "lowercase":
         return F.lower(x), never
     if name == "uppercase":
