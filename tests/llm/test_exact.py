@@ -194,6 +194,32 @@ def test_repeats_query(spark, sf):
     assert bag(got) == bag(want)
 
 
+def test_repeats_query_on_more(spark):
+    """All rows of a larger table, long texts included, against counts of digests of all strings."""
+    sf = "/root/testdata/sf0.01"
+    texts = [(d, (t or "").encode()) for d, t in documents(sf)]
+    digest = lambda x: hashlib.blake2b(x, digest_size=12).digest()
+    names = [[digest(x[i : i + 400]) for i in range(len(x) - 399)] for _, x in texts]
+    seen = Counter(n for own in names for n in own)
+    want = []
+    for (d, x), own in zip(texts, names, strict=True):
+        spans: list[list[int]] = []
+        for i, n in enumerate(own):
+            if seen[n] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + 400
+                else:
+                    spans.append([i, i + 400])
+        kept, at = hashlib.sha256(), 0
+        for a, b in spans:
+            kept.update(x[at:a])
+            at = b
+        kept.update(x[at:])
+        want.append((d, len(x), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+    assert max(n for _, n, *_ in want) > 20_000 and sum(s for *_, s, _ in want) > 50
+    assert bag([tuple(r) for r in repeats.op5_repeated_strings(spark, sf).collect()]) == bag(want)
+
+
 # -- decontamination ---------------------------------------------------------------------------------------
 
 
