@@ -78,6 +78,15 @@ def test_all_built_ins_agree(spark):
     assert not wrong, (len(wrong), wrong[:8])
 
 
+def test_white_space_of_every_character(spark):
+    """The property that the Column form names has the characters that the Python form lists."""
+    texts = [f"{chr(c)}a{chr(c)}{chr(c)}b c{chr(c)}" for c in (*range(0xD800), *range(0xE000, 0x11000))]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    value, trimmed = builtin("normalize-whitespace", df["x"])[0], builtin("trim", df["x"])[0]
+    for row in df.select("x", value.alias("v"), trimmed.alias("t")).collect():
+        assert (row["v"], row["t"]) == (apply_builtin("normalize-whitespace", row["x"], {}), apply_builtin("trim", row["x"], {})), row["x"].encode()
+
+
 def test_built_ins_of_arrays_and_numbers(spark):
     df = spark.createDataFrame([(["a", "b"], 5.0), ([], -1.0), (["a", None], 4.0), (None, None)], "a array<string>, n double")
     joined, min_, max_ = builtin("join", df["a"], separator="-"), builtin("assert-min", df["n"], _given="f64", value=4), builtin("assert-max", df["n"], _given="f64", value=4)

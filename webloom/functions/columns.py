@@ -21,9 +21,8 @@ from webloom.functions import regex2, urls
 from webloom.functions.builtins import BUILTINS, WHITE, BuiltinError, apply_builtin
 from webloom.plans.types import INTEGERS, Type, parse_type
 
-_WHITE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE) + "]"
-
-_WHITE_BUT_SPACE = _WHITE.replace("\\x{20}", "")
+#: Runs of Unicode's white space that aren't a single space; the property has the characters of ``WHITE``.
+_RUNS = "[\\p{IsWhite_Space}&&[^ ]]\\p{IsWhite_Space}*+| \\p{IsWhite_Space}++"
 
 
 def _arrow(name: str, named: dict, positional: tuple, given: str, gives: Type):
@@ -61,8 +60,7 @@ def builtin(name: str, x: Column, /, *positional, _given: str = "string", **prop
     if name == "trim":
         return F.btrim(x, F.lit("".join(WHITE))), never
     if name == "normalize-whitespace":
-        # A single space stays as it is: only other runs are replaced.
-        return F.btrim(F.regexp_replace(x, F.lit(f"{_WHITE_BUT_SPACE}{_WHITE}*+| {_WHITE}++"), F.lit(" ")), F.lit(" ")), never
+        return F.btrim(F.regexp_replace(x, F.lit(_RUNS), F.lit(" ")), F.lit(" ")), never
     if name == "lowercase":
         return F.lower(x), never
     if name == "uppercase":
