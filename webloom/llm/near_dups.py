@@ -234,8 +234,9 @@ def near_duplicates(
     members = _store.written(members.join(sizes.hint("merge"), "centre").withColumn("block", F.pmod(F.xxhash64("row"), F.col("k")).cast("int")).drop("size"), f"{path}/dealt")
     bodies = table.select("row", "n", "registers", "z").hint("merge")
     # First every block with the centre, which stands for the group; a block of its own if the group has one only.
-    centre_of = members.where("row = centre and k > 1").select("centre", "row", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
-    met = members.unionByName(centre_of).select("centre", "row", "k", "block").distinct().withColumn("other", F.lit(-1)).join(bodies, "row")
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block")
+    centre_of = members.where("row = centre and k > 1").select("centre", "row", "k", F.col("block").alias("own"), every).where("block <> own").drop("own")
+    met = members.select("centre", "row", "k", "block").unionByName(centre_of).withColumn("other", F.lit(-1)).join(bodies, "row")
     low = percent / 100 - margin
 
     def compare(block: pa.Table) -> pa.Table:
@@ -274,9 +275,9 @@ def near_duplicates(
     chunks = _store.written(apart.groupBy("centre").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m")), f"{path}/chunks")
     apart = _store.written(apart.join(chunks.hint("merge"), "centre").withColumn("other", F.pmod(F.xxhash64("row", F.lit(1)), F.col("m")).cast("int")), f"{path}/apart")
     blocks_of = sizes.where("k > 1")
-    theirs = apart.join(blocks_of.hint("merge"), "centre").select("centre", "row", "k", "own", "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block")).where("block <> own").drop("own")
+    theirs = apart.join(blocks_of.hint("merge"), "centre").select("centre", "row", "k", "own", "other", every).where("block <> own").drop("own")
     asked = members.join(chunks.hint("merge"), "centre").select("centre", "row", "k", "block", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-    met = asked.unionByName(theirs.select(asked.columns)).distinct().join(bodies, "row")
+    met = asked.unionByName(theirs.select(asked.columns)).join(bodies, "row")
     second = met.groupBy("centre", "block", "other").applyInArrow(compare, schema)
     edges = first.where("a is not null").select("a", "b").unionByName(second.select("a", "b"))
     roots = connected(edges, f"{path}/components")
