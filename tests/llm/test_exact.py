@@ -553,8 +553,13 @@ def test_parts_against_the_regular_expression():
 
 
 def test_line_dedup(odd, odd_rows):
+    from pyspark.sql import functions as F
+
+    # A repeated document of several lines is cut like its first, wherever the boundaries fall.
+    odd, odd_rows = odd.union(odd.where("doc_id = 43").withColumn("doc_id", F.lit(44))), [*odd_rows, (44, odd_rows[-1][1])]
     got = line_dedup.dedup_lines(odd, keep=("kept", "row")).collect()
     assert Counter(r["key"] for r in got) == Counter(r[0] for r in odd_rows)
+    assert [r["text"] for r in got if r["key"] == 44] == [""]
     texts = {}
     for d, t in (r[:2] for r in odd_rows):
         texts.setdefault(d, []).append(t)

@@ -1,4 +1,4 @@
-"""Vectorised views of batches of texts as UTF-8 bytes: blocks, word spans and rolling hashes.
+"""Vectorised views of batches of texts as UTF-8 bytes: blocks, word spans, hashes of words and rolling hashes.
 
 A block is a run of whole documents whose bytes lie in one array. Documents are never cut, so a block is
 as long as ``block_bytes`` or as its one document.
@@ -23,10 +23,6 @@ BLOCK_BYTES = 1 << 20
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.Generator(np.random.PCG64(20240607))
-#: A random 64-bit value for each byte; fixed by the seed, so hashes agree between tasks and runs.
-BYTE_VALUES = _rng.integers(0, 1 << 64, 256, dtype=_U64)
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words of ASCII digits and lower-case letters and of all other characters from U+0080 on.
@@ -133,7 +129,7 @@ _powers: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2^64."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 4096)
+        size = max(n + 1, 1 << 16)
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             table = np.full(size, b, _U64)
             table[0] = 1
@@ -151,17 +147,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hasher:
-    """Hashes of any substrings of a byte array in constant time each, from one running sum. A polynomial modulo
-    2^64: texts can be made whose hashes agree, so who relies on equality compares bytes or takes ``word_hashes``."""
+class Rolling:
+    """Hashes of any runs of a sequence of 64-bit values in constant time each, from one running sum. Who relies on
+    equality compares what lies behind the values."""
 
-    def __init__(self, buf: np.ndarray, values: np.ndarray = BYTE_VALUES):
-        n = len(buf)
+    def __init__(self, values: np.ndarray):
+        n = len(values)
         up, self._down = powers(n)
         self._sum = np.zeros(n + 1, _U64)
-        terms = values[buf]
-        terms *= up[:n]
-        np.cumsum(terms, out=self._sum[1:])
+        np.cumsum(values * up[:n], out=self._sum[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = self._sum[ends] - self._sum[starts]

@@ -1,15 +1,17 @@
 """Line deduplication by repeated passages or by content-defined chunks of lines.
 
-Passages (``passages=True``, as the queries have it): every window of ``min_lines`` lines with words, with the
+Lines are hashed one by one (BLAKE2b, 64 bits), and rolling hashes run over the lines' hashes.
+
+Passages (``passages=True``, as the queries have it), a boundary after every line: every window of ``min_lines`` lines with words, with the
 blank lines between them, and every single line of more than ``long_words`` words. Of those that occur more than
 once anywhere, the first place (by key, nulls last, then row and place) stays; the lines of the others are removed
 once their bytes have been compared with the first's. Windows overlap, so a repeated run of lines goes from its
 first line to its last, wherever it begins; each line that goes still stands at an earlier place. A shorter
 line repeated alone stays, and so do blank lines at the edges of a passage.
 
-Chunks (the default): a rolling hash over the last two lines' hashes chooses where a chunk ends, so boundaries
-shift with the text and a passage repeated elsewhere is cut alike after its first two lines. The same holds for
-every chunk of ``min_lines`` or more lines with words; what of a passage lies in other chunks stays.
+Chunks (the default): a line's hash chooses whether a chunk ends with it, so boundaries shift with the text and a
+passage repeated elsewhere is cut alike from some line on. The same holds for every chunk of ``min_lines`` or more lines
+with words; what of a passage lies in other chunks stays.
 
 Joins are sort-merge joins at every size, so plans and what they move don't change as tables grow.
 Work moves hashes, not texts: chunks and windows are counted by hash with partial sums, only rows with a repeated
@@ -48,23 +50,25 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return begins, ends, docs, buf[ends - 1] == 10 if len(ends) else np.zeros(0, bool)
 
 
-def line_chunks(buf: np.ndarray, offs: np.ndarray, every: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(begins, ends, docs, worded, hasher's hashes): chunks as byte ranges, with the line end after their
-    last line, their documents, and their lines with words. About every ``every``-th line ends a chunk."""
+def line_chunks(buf: np.ndarray, offs: np.ndarray, every: int = 3, min_lines: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, docs, worded, hashes): chunks as byte ranges, with the line end after their
+    last line, their documents, and their lines with words. A line ends a chunk if its own hash says so, about every
+    ``every``-th does, and the chunk has ``min_lines`` lines with words by then."""
     begins, ends, docs, feed = _lines(buf, offs)
-    hasher = _text.Hasher(buf)
-    h = hasher(begins, ends - feed)
-    first = np.concatenate([[True], docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, bool)
-    before = np.concatenate([[_U64(0)], h[:-1]]) if len(h) else h
-    rolled = _text.mix(h * _U64(0x9E3779B97F4A7C15) + np.where(first, _U64(0), before))
-    cut = rolled % _U64(every) == 0
-    final = np.concatenate([first[1:], [True]]) if len(first) else first
-    stop = np.flatnonzero(cut | final)
-    start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if len(stop) else stop
+    n = len(docs)
+    h = _text.word_hashes(buf, begins, ends - feed)
     words = np.concatenate([[0], np.cumsum(_text.NONSPACE[buf])])
     worded = np.concatenate([[0], np.cumsum(words[ends] > words[begins])])
-    # Without the feed after the chunk's last line: at a document's end there is none.
-    hashes = hasher(begins[start], ends[stop] - feed[stop]) if len(stop) else h
+    final = np.ones(n, bool)
+    final[:-1] = docs[1:] != docs[:-1]
+    stop, since, so_far = [], 0, worded.tolist()
+    for line in np.flatnonzero((_text.mix(h) % _U64(every) == 0) | final).tolist():
+        if final[line] or so_far[line + 1] - so_far[since] >= min_lines:
+            stop.append(line)
+            since = line + 1
+    stop = np.array(stop, np.int64)
+    start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if len(stop) else stop
+    hashes = _text.Rolling(h)(start, stop + 1) if len(stop) else h
     return begins[start], ends[stop], docs[start], worded[stop + 1] - worded[start], hashes
 
 
@@ -90,8 +94,8 @@ def line_windows(buf: np.ndarray, offs: np.ndarray, min_lines: int = 2, long_wor
     order = np.argsort(2 * head + kind)
     head, tail, kind = head[order], tail[order], kind[order]
     at = 2 * (head - np.searchsorted(docs, docs[head])) + kind
-    # Without the feed after the last line: at a document's end there is none.
-    hashes = _text.Hasher(buf)(begins[head], ends[tail] - feed[tail])
+    # Over the lines' hashes without their feeds: at a document's end there is none.
+    hashes = _text.Rolling(_text.word_hashes(buf, begins, ends - feed))(head, tail + 1)
     return begins[head], ends[tail], docs[head], at, hashes
 
 
@@ -107,7 +111,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, keep:
         if passages:
             begins, ends, docs, at, hashes = line_windows(block.buf, block.offs, min_lines, long_words)
         else:
-            begins, ends, docs, worded, hashes = line_chunks(block.buf, block.offs, every)
+            begins, ends, docs, worded, hashes = line_chunks(block.buf, block.offs, every, min_lines)
             at = np.arange(len(docs)) - np.searchsorted(docs, docs)
             begins, ends, docs, at, hashes = (x[worded >= min_lines] for x in (begins, ends, docs, at, hashes))
         return begins, ends, np.searchsorted(docs, np.arange(block.n + 1)), at, hashes
