@@ -56,7 +56,9 @@ def dom_nodes(df: DataFrame, key: str = "page_id", html: str = "html", *, text:
                     stack += [(c, pre, depth + 1, False) for c in reversed(n.children) if c.kind == ELEMENT]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return spread(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{html}`").alias("h"))).select("k", F.monotonically_increasing_id(), "h").mapInArrow(shred, schema)
+    # Numbered where they are read: after a shuffle the order of rows, and so their numbers, may change from run to run.
+    numbered = df.select(F.col(f"`{key}`").alias("k"), F.monotonically_increasing_id().alias("page"), F.col(f"`{html}`").alias("h"))
+    return spread(numbered).mapInArrow(shred, schema)
 
 
 def page_matches(df: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
