@@ -188,6 +188,16 @@ def test_relational_selectors_agree(spark, sf, selector):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_many_relational_selectors(spark, sf):
+    from webloom.html.tree import parse
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("page_id < 8")
+    selectors = {"a": "nav ul > li:nth-child(2) a", "b": "h1 ~ p, div.ad", "c": "li + li", "d": "article > p, p", "e": "li ~ li ~ li", "f": "table"}
+    got = {(r["page_id"], r["selector"]): r["n"] for r in dom.select_many(dom.dom_nodes(pages, text=False), selectors).groupBy("page_id", "selector").agg(F.count("*").alias("n")).collect()}
+    want = {(r["page_id"], k): len(parse_selector(s).query(parse(r["html"]))) for r in pages.collect() for k, s in selectors.items()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_stream(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/pages.parquet").write.parquet(f"{tmp_path}/in")
     stream = extract_stream(program(LINKS), read_pages(spark, f"{tmp_path}/in", "page_id long, url string, html string"), keep=("page_id",))

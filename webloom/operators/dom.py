@@ -120,22 +120,59 @@ def predicate(c: Compound) -> Column:
     return out
 
 
+_PLACE = ("page", "pre", "post", "parent", "elem_idx")
+
+
+def _chained(nodes: DataFrame, chain, is_) -> DataFrame:
+    """The rows that the last compound of a chain selects; ``is_`` gives a compound's condition."""
+    left = nodes.where(is_(chain[0][1]))
+    for combinator, compound in chain[1:]:
+        b = nodes.where(is_(compound)).alias("b")
+        a = left.select(*_PLACE).distinct().alias("a")
+        same = F.col("a.page") == F.col("b.page")
+        siblings = same & (F.col("a.parent") == F.col("b.parent"))
+        if combinator == "~":
+            # Of siblings the first one decides.
+            a = left.groupBy("page", "parent").agg(F.min("elem_idx").alias("elem_idx")).alias("a")
+        on = {
+            ">": lambda: same & (F.col("a.pre") == F.col("b.parent")),
+            "+": lambda: siblings & (F.col("a.elem_idx") == F.col("b.elem_idx") - 1),
+            "~": lambda: siblings & (F.col("a.elem_idx") < F.col("b.elem_idx")),
+            " ": lambda: same & (F.col("a.pre") < F.col("b.pre")) & (F.col("b.post") < F.col("a.post")),
+        }[combinator]()
+        left = b.join(a, on, "left_semi")
+    return left
+
+
 def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
     """The rows of ``nodes`` that match, each once."""
     found = None
     for chain in parse_selector(selector).chains:
-        left = nodes.where(predicate(chain[0][1]))
-        for combinator, compound in chain[1:]:
-            b = nodes.where(predicate(compound)).alias("b")
-            a = left.select("page", "pre", "post", "parent", "elem_idx").distinct().alias("a")
-            same = F.col("a.page") == F.col("b.page")
-            siblings = same & (F.col("a.parent") == F.col("b.parent"))
-            on = {
-                ">": same & (F.col("a.pre") == F.col("b.parent")),
-                "+": siblings & (F.col("a.elem_idx") == F.col("b.elem_idx") - 1),
-                "~": siblings & (F.col("a.elem_idx") < F.col("b.elem_idx")),
-                " ": same & (F.col("a.pre") < F.col("b.pre")) & (F.col("b.post") < F.col("a.post")),
-            }[combinator]
-            left = b.join(a, on, "left_semi")
-        found = left if found is None else found.unionByName(left)
+        part = _chained(nodes, chain, predicate)
+        found = part if found is None else found.unionByName(part)
     return found.dropDuplicates(["page", "pre"])
+
+
+def select_many(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
+    """(key, selector, page, pre) of the rows that match each of several selectors, each once. All compounds are tried on a node
+    once, before the one exchange by page, which moves numbers and conditions only."""
+    key = nodes.columns[0]
+    if key in ("selector", *_PLACE):
+        raise ValueError(f"the key has the name of a result, rename it first: {key}")
+    parsed = {name: parse_selector(s) for name, s in selectors.items()}
+    compounds: list[Compound] = []
+    for s in parsed.values():
+        for chain in s.chains:
+            compounds += [c for _, c in chain if c not in compounds]
+    tried = nodes.select(F.col(f"`{key}`"), *_PLACE, *[predicate(c).alias(f"is{i}") for i, c in enumerate(compounds)])
+    # Nodes that no compound selects take no part. Filters and pruning would make an exchange, and parse pages, for every use:
+    # they don't pass a function over batches, so all uses share one exchange.
+    tried = tried.where(" or ".join(f"is{i}" for i in range(len(compounds)))).repartition("page")
+    tried = tried.mapInArrow(lambda batches: batches, tried.schema)
+    out = None
+    for name, s in parsed.items():
+        for chain in s.chains:
+            part = _chained(tried, chain, lambda c: F.col(f"is{compounds.index(c)}"))
+            part = part.select(F.col(f"`{key}`"), F.lit(name).alias("selector"), "page", "pre")
+            out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(["selector", "page", "pre"])

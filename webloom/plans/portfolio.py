@@ -168,13 +168,8 @@ def _dom_selectors(spark, sf_dir):
 
 @query("dom_relational_selectors", _COUNTS_SQL)
 def _dom_relational(spark, sf_dir):
-    # Dealt by page: every use below reuses this one exchange, so pages are parsed once.
-    nodes = dom.dom_nodes(table(spark, sf_dir, "pages"), text=False).repartition("page")
-    out = None
-    for s in _COUNTED:
-        part = dom.select_nodes(nodes, s).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(s).alias("selector"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    nodes = dom.dom_nodes(table(spark, sf_dir, "pages"), text=False)
+    return dom.select_many(nodes, {s: s for s in _COUNTED}).groupBy("page_id", "selector").agg(F.count("*").alias("n"))
 
 
 # -- each scalar built-in over a column of a table, as Columns --------------------------------------------
