@@ -255,6 +255,26 @@ def test_fetch_stage(spark):
     assert sorted((r["url"], r["status"], r["code"]) for r in got) == [("http://bad/", None, "E_HTTP_STATUS"), ("http://good/", 200, None)]
 
 
+def test_small_tables_are_dealt_out(spark, sf, tmp_path):
+    from webloom.operators.spread import _bytes, spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.read.parquet(f"{sf}/pages.parquet")
+    assert spread(one).rdd.getNumPartitions() == cores and spread(one).count() == one.count()
+    one.repartition(cores).write.parquet(f"file://{tmp_path}/many")
+    many = spark.read.parquet(f"file://{tmp_path}/many")
+    assert spread(many) is many and spread(one.limit(0).select("page_id")).count() == 0
+    rows = spark.createDataFrame([(1,)], "a int")
+    assert spread(rows) is rows
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert spread(one) is one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [_bytes(x) for x in ("134217728b", "128m", "1g", "64KB", "7")] == [1 << 27, 1 << 27, 1 << 30, 1 << 16, 7]
+
+
 def test_names_that_resolve_to_private_addresses(monkeypatch):
     """Every address of a name is checked before the connection, and the checked address is the one connected to."""
     import socket
