@@ -255,6 +255,27 @@ def test_fetch_stage(spark):
     assert sorted((r["url"], r["status"], r["code"]) for r in got) == [("http://bad/", None, "E_HTTP_STATUS"), ("http://good/", 200, None)]
 
 
+def test_fetch_stage_of_equal_urls(spark, tmp_path):
+    """A row for each page, whether or not others have its address; kept columns come along as they are."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from webloom.plans import portfolio
+
+    urls = ["http://a/", "http://b/", "http://c/", "http://a/", "http://b/", "http://a/", "http://é/", "http://é/"]
+    pq.write_table(pa.table({"page_id": pa.array(range(len(urls)), pa.int64()), "url": urls, "html": [""] * len(urls)}), tmp_path / "pages.parquet")
+    want = duckdb.sql(portfolio.SQL["fetch_stage"].replace("from pages", f"from '{tmp_path}/pages.parquet'")).fetchall()
+    got = portfolio.QUERIES["fetch_stage"](spark, f"file://{tmp_path}").select("page_id", "status", "code", "n").collect()
+    assert len(got) == len(urls) and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    rows = spark.sql("select id % 2 as `odd name`, timestamp'2026-01-01 00:00:00' as at, array(id) as ids, 'u' as url, id as status from range(5)")
+    fetched = fetch(rows, keep=("odd name", "at", "ids"), options=Options(policy=None), fetcher=lambda *_: {"status": 200})
+    assert fetched.columns[:4] == ["odd name", "at", "ids", "url"]
+    assert sorted((r["ids"], r["odd name"], r["at"].year, r["status"]) for r in fetched.collect()) == [([i], i % 2, 2026, 200) for i in range(5)]
+    with pytest.raises(ValueError, match="status"):
+        fetch(rows, keep=("status",))
+
+
 def test_small_tables_are_dealt_out(spark, sf, tmp_path):
     from webloom.operators.spread import _bytes, spread
 
