@@ -265,7 +265,7 @@ def test_fetch_stage_of_equal_urls(spark, tmp_path):
 
     urls = ["http://a/", "http://b/", "http://c/", "http://a/", "http://b/", "http://a/", "http://é/", "http://é/"]
     pq.write_table(pa.table({"page_id": pa.array(range(len(urls)), pa.int64()), "url": urls, "html": [""] * len(urls)}), tmp_path / "pages.parquet")
-    want = duckdb.sql(portfolio.SQL["fetch_stage"].replace("from pages", f"from '{tmp_path}/pages.parquet'")).fetchall()
+    want = duckdb.connect().sql(portfolio.SQL["fetch_stage"].replace("from pages", f"from '{tmp_path}/pages.parquet'")).fetchall()
     got = portfolio.QUERIES["fetch_stage"](spark, f"file://{tmp_path}").select("page_id", "status", "code", "n").collect()
     assert len(got) == len(urls) and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     rows = spark.sql("select id % 2 as `odd name`, timestamp'2026-01-01 00:00:00' as at, array(id) as ids, 'u' as url, id as status from range(5)")
